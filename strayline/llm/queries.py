@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, simhash_bk
+from . import bpe_dp, crf_langid, decision_list, exact_dedup, mixing, quality_pu, simhash_bk, suffix_tree, toxicity_knn, warc
+from .common import fold
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_pu.fit(docs, table(spark, sf_dir, "labels"))
+    found = quality_pu.score(docs, model).withColumn("held_out", fold(F.col("doc_id"), 4, 2))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= quality_pu.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), carry=("page_id",))
+
+
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.build_index(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -29,6 +49,12 @@ FROM t WINDOW g AS (PARTITION BY s)
 """
 
 
+def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = crf_langid.predict(docs, crf_langid.fit(docs)).withColumn("held_out", fold(F.col("doc_id"), 4, 2))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -65,15 +91,39 @@ SELECT doc_id, size, source_size, target, (size * epochs + greatest(0, least(siz
 """
 
 
+def op7_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity_knn.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity_knn.score(docs, index).withColumn("held_out", fold(F.col("doc_id"), 3, 1))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= toxicity_knn.THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_dp.digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = decision_list.judged(docs, decision_list.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def queries() -> dict:
     return {
+        "op1_quality_pu": op1_quality_pu,
+        "op2_warc_derivatives": op2_warc_derivatives,
+        "op3_suffix_tree": op3_suffix_tree,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_crf_language": op5_crf_language,
         "op6_mix_sources": op6_mix_sources,
+        "op7_toxicity_knn": op7_toxicity_knn,
         "op8_simhash": op8_simhash,
+        "op9_bpe": op9_bpe,
+        "op10_decision_list": op10_decision_list,
     }
 
 
