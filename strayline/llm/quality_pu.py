@@ -157,3 +157,16 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score the threshold or more, with the columns of docs."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = features({k: v.astype(float) for k, v in counts(batch.column(at)).items()})
+            yield batch.filter(pa.array(model.score(f) >= threshold))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
