@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Entries of a worker's cache of encoded cuts.
-CACHE = 200_000
+#: Entries of each half of a worker's cache of encoded cuts. When the newer half is
+#: full it becomes the older one, from which cuts that come again move back.
+CACHE = 400_000
 
 # Letters and numbers of Unicode 17, which the tokenizer's older
 # tables don't have and treat as symbols.
@@ -88,6 +89,7 @@ class Bpe:
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.cuts: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -123,7 +125,7 @@ class Bpe:
                     i += 1
                 else:
                     j += 1
-            if len(self.fits) > 4 * CACHE:
+            if len(self.fits) >= CACHE:
                 self.fits.clear()
             self.fits[a, b] = found
         return found
@@ -143,10 +145,12 @@ class Bpe:
     def cut(self, text: str) -> tuple[str, int, bytes]:
         """(ids joined by commas, how many, the bytes they decode to) of what lies between two cuts."""
         if (found := self.cuts.get(text)) is None:
-            ids = [i for p in PIECE.findall(text) for i in self.piece(p.encode())]
-            found = ",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
+            found = self.older.get(text)
+            if found is None:
+                ids = [i for p in PIECE.findall(text) for i in self.piece(p.encode())]
+                found = ",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
             if len(self.cuts) >= CACHE:
-                self.cuts.clear()
+                self.cuts, self.older = {}, self.cuts
             self.cuts[text] = found
         return found
 
@@ -162,12 +166,12 @@ class Bpe:
 
     def plain(self, text: str) -> Iterator[tuple[str, int, bytes]]:
         first, *rest = CUT.split(text) if ODD.search(text) else text.split(" ")
-        cut, known = self.cut, self.cuts
+        cut = self.cut
         if first:
             yield cut(first)
         for x in rest:
             x = " " + x
-            yield known.get(x) or cut(x)
+            yield self.cuts.get(x) or cut(x)
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, n, _ in self.parts(text) if n for i in ids.split(",")]
