@@ -16,7 +16,7 @@ that sorts first.
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,39 +28,58 @@ from pyspark.sql import functions as F
 
 from .common import fold, small_batches, words
 
-MAX_TEXTS = 1500
+MAX_TEXTS = 800
 LEXICON = 2000
-CHUNK = 256
-CACHE = 250_000
+CHUNK = 512
+#: Words whose scores a worker keeps.
+CACHE = 700_000
 EDGES = " .,;:!?'\"()[]{}*#$%&|<>-_/\\"
 UNKNOWN = "und"
 
 
-def word_features(word: str, lexicon: dict[str, tuple[str, ...]]) -> list[str]:
-    """Names of a lower-cased word's features; none if it has no letter."""
+def word_features(word: str, lexicon: dict[str, str]) -> list[tuple[str, str]]:
+    """(kind, value) of each feature of a lower-cased word; none if it has no letter."""
     w = word.strip(EDGES)
-    if not any(map(str.isalpha, w)):
+    if not w.isalpha() and not any(map(str.isalpha, w)):
         return []
-    out = [*lexicon.get(w, ("x:none",))]
-    for k in (1, 2, 3):
-        out += (f"p:{w[:k]}", f"s:{w[-k:]}")
     b = f"^{w}$"
-    out += [f"g:{b[i:i + 2]}" for i in range(len(b) - 1)]
-    out += [f"g:{b[i:i + 3]}" for i in range(len(b) - 2)]
+    n = len(b)
+    out = [("x", lexicon.get(w, "")), ("p", w[:1]), ("p", w[:2]), ("p", w[:3]), ("s", w[-1:]), ("s", w[-2:]), ("s", w[-3:])]
+    out += [("g", b[i : i + 2]) for i in range(n - 1)]
+    out += [("g", b[i : i + 3]) for i in range(n - 2)]
     return out
 
 
 @dataclass
 class Crf:
     languages: list[str]
-    lexicon: dict[str, tuple[str, ...]]
-    index: dict[str, int]
+    lexicon: dict[str, str]
+    index: dict[tuple[str, str], int]
     weights: np.ndarray
     transitions: np.ndarray
 
-    def emission(self, word: str) -> np.ndarray:
-        at = [i for f in word_features(word, self.lexicon) if (i := self.index.get(f)) is not None]
-        return self.weights[at].sum(axis=0) if at else np.zeros(len(self.languages), np.float32)
+    def __post_init__(self) -> None:
+        # By kind, so that a lookup needs no pair.
+        self.of = {kind: {v: i for (k, v), i in self.index.items() if k == kind} for kind in "xpsg"}
+
+    def emissions(self, known: list[str]) -> np.ndarray:
+        """Scores of each word for each language; zeros without a letter. The last row of weights is zero."""
+        none = len(self.weights) - 1
+        x, p, s, g = (self.of[k].get for k in "xpsg")
+        lexicon, flat, starts = self.lexicon.get, [], []
+        for word in known:
+            starts.append(len(flat))
+            w = word.strip(EDGES)
+            if not w.isalpha() and not any(map(str.isalpha, w)):
+                flat.append(none)
+                continue
+            b = f"^{w}$"
+            flat += (x(lexicon(w, ""), none), p(w[:1], none), p(w[:2], none), p(w[:3], none), s(w[-1:], none), s(w[-2:], none), s(w[-3:], none))
+            flat += [g(b[i : i + 2], none) for i in range(len(b) - 1)]
+            flat += [g(b[i : i + 3], none) for i in range(len(b) - 2)]
+        if not known:
+            return np.zeros((0, len(self.languages)), np.float32)
+        return np.add.reduceat(self.weights[np.array(flat)], np.array(starts), axis=0)
 
 
 def _chunks(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,12 +110,18 @@ def posteriors(emissions: np.ndarray, offsets: np.ndarray, transitions: np.ndarr
     into = np.full((len(start), k), 1 / k)
     out = np.ones((len(start), k))
     if place.any():
-        whole = np.broadcast_to(np.eye(k), (len(start), k, k)).copy()
+        # Only chunks of texts with several of them are chained.
+        some = np.flatnonzero(np.bincount(text, minlength=len(offsets) - 1)[text] > 1)
+        whole = np.zeros((len(start), k, k))
+        part, low, long = np.broadcast_to(np.eye(k), (len(some), k, k)).copy(), start[some], length[some]
+        live = len(long) - np.searchsorted(long[::-1], np.arange(1, CHUNK + 1), "left")
         for t in range(CHUNK):
-            if not (m := active[t]):
+            if not (m := live[t]):
                 break
-            step = (whole[:m] @ a) * e[start[:m] + t][:, None, :]
-            whole[:m] = step / step.sum(axis=(1, 2), keepdims=True)
+            part[:m] = (part[:m] @ a) * e[low[:m] + t][:, None, :]
+            if t % 8 == 7 or t + 1 == CHUNK or live[t + 1] < m:
+                part[:m] /= part[:m].sum(axis=(1, 2), keepdims=True)
+        whole[some] = part
         last = place.max()
         by_place = [np.flatnonzero(place == p) for p in range(last + 1)]
         at = np.full(len(offsets) - 1, -1)
@@ -134,7 +159,7 @@ def posteriors(emissions: np.ndarray, offsets: np.ndarray, transitions: np.ndarr
     return _unit(forward * backward + 1e-300)
 
 
-def train(texts: list[str], labels: list[str], steps: int = 40, rate: float = 0.15, decay: float = 1e-6) -> Crf:
+def train(texts: list[str], labels: list[str], steps: int = 30, rate: float = 0.15, decay: float = 1e-6) -> Crf:
     languages = sorted(set(labels))
     k = len(languages)
     codes, offsets, known = words(pa.array([t.lower() for t in texts], pa.string()))
@@ -152,20 +177,26 @@ def train(texts: list[str], labels: list[str], steps: int = 40, rate: float = 0.
     cores = list(by_core)
     total = np.array([by_core[c] for c in cores]) if cores else np.zeros((0, k))
     share = total / np.maximum(1, total.sum(axis=0))
-    lexicon: dict[str, tuple[str, ...]] = {}
+    lexicon: dict[str, str] = {}
     for j, name in enumerate(languages):
         top = np.argsort(-np.where(share.argmax(axis=1) == j, total[:, j], 0), kind="stable")[:LEXICON]
-        for i in top:
-            if total[i, j] >= 3:
-                lexicon[cores[i]] = (f"x:{name}",)
-
-    of_word = [word_features(w, lexicon) for w in vocabulary]
-    often = Counter(f for fs in of_word for f in fs)
-    index = {f: i for i, f in enumerate(sorted(f for f, n in often.items() if n >= 2))}
-    at = [[index[f] for f in fs if f in index] for fs in of_word]
-    sizes = np.array([len(x) for x in at])
-    flat = np.array([i for x in at for i in x], np.int64)
-    word_at = np.repeat(np.arange(len(at)), sizes)
+        lexicon |= {cores[i]: name for i in top if total[i, j] >= 3}
+
+    # Features by number as they come; those of one word alone are left out.
+    ids: dict[tuple[str, str], int] = {}
+    numbers, sizes = array("i"), array("i")
+    for w in vocabulary:
+        own = word_features(w, lexicon)
+        numbers.extend(ids.setdefault(f, len(ids)) for f in own)
+        sizes.append(len(own))
+    flat, n_words = np.frombuffer(numbers, np.int32) if len(numbers) else np.zeros(0, np.int32), len(vocabulary)
+    word_at = np.repeat(np.arange(n_words, dtype=np.int32), sizes)
+    often = np.bincount(flat, minlength=len(ids)) >= 2
+    place = np.cumsum(often) - 1
+    index = {f: int(place[i]) for f, i in ids.items() if often[i]}
+    keep = often[flat]
+    flat, word_at = place[flat[keep]], word_at[keep]
+    del ids
     weights, moves = np.zeros((len(index), k)), np.zeros((k, k))
 
     # Training sequences are runs of at most CHUNK words; each is a whole sequence of its own.
@@ -174,51 +205,52 @@ def train(texts: list[str], labels: list[str], steps: int = 40, rate: float = 0.
     inside = np.ones(len(codes), bool)
     inside[cut[:-1][cut[:-1] < len(codes)]] = False
     second = np.flatnonzero(inside)
+    real = np.zeros((k, k))
+    np.add.at(real, (gold[second - 1], gold[second]), 1)
     squares = [np.zeros_like(weights), np.zeros_like(moves)]
     for _ in range(steps):
-        emission = np.zeros((len(at), k))
+        emission = np.zeros((n_words, k))
         for j in range(k):
-            emission[:, j] = np.bincount(word_at, weights[flat, j], len(at))
-        x = emission[codes]
-        post = posteriors(x, cut, moves)
-        error = -post
-        error[np.arange(len(codes)), gold] += 1
-        per_word = np.stack([np.bincount(codes, error[:, j], len(at)) for j in range(k)], axis=1)
+            emission[:, j] = np.bincount(word_at, weights[flat, j], n_words)
+        post, pair = _expected(emission[codes], cut, moves)
+        post[np.arange(len(codes)), gold] -= 1
+        per_word = np.stack([np.bincount(codes, -post[:, j], n_words) for j in range(k)], axis=1)
         grad_w = np.stack([np.bincount(flat, per_word[word_at, j], len(index)) for j in range(k)], axis=1) / n - decay * weights
-        # Pair posteriors from the two neighbours' forward and backward parts.
-        pair = _pairs(x, cut, moves, second)
-        real = np.zeros((k, k))
-        np.add.at(real, (gold[second - 1], gold[second]), 1)
         grad_m = (real - pair) / n - decay * moves
         for p, g, s in ((weights, grad_w, squares[0]), (moves, grad_m, squares[1])):
             s += g * g
             p += rate * g / (np.sqrt(s) + 1e-8)
-    return Crf(languages, lexicon, index, weights.astype(np.float32), moves)
+    return Crf(languages, lexicon, index, np.vstack([weights, np.zeros((1, k))]).astype(np.float32), moves)
 
 
-def _pairs(x: np.ndarray, offsets: np.ndarray, moves: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Expected counts of neighbouring languages, for sequences of at most CHUNK words."""
-    e = np.exp(x - x.max(axis=1, keepdims=True)) + 1e-30
+def _expected(x: np.ndarray, offsets: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors of words and expected counts of neighbouring languages, for sequences of at most CHUNK words."""
+    e = np.exp(x - x.max(axis=1, keepdims=True)) + 1e-30 if len(x) else x
     a = np.exp(moves - moves.max())
     k = x.shape[1]
     start, length, _, _ = _chunks(offsets)
     active = len(length) - np.searchsorted(length[::-1], np.arange(1, CHUNK + 1), "left")
-    forward, now = np.empty_like(e), np.full((len(start), k), 1 / k)
+    post, now = np.empty_like(e), np.full((len(start), k), 1 / k)
     for t in range(CHUNK):
         if not (m := active[t]):
             break
         now = _unit((now[:m] @ a) * e[start[:m] + t])
-        forward[start[:m] + t] = now
+        post[start[:m] + t] = now
     total, back = np.zeros((k, k)), np.ones((len(start), k))
     for t in range(CHUNK - 1, 0, -1):
         m = active[t]
         if not m:
             continue
-        nxt = e[start[:m] + t] * back[:m]
-        joint = forward[start[:m] + t - 1][:, :, None] * a[None] * nxt[:, None, :]
+        at = start[:m] + t
+        before = post[at - 1].copy()
+        nxt = e[at] * back[:m]
+        post[at] = _unit(post[at] * back[:m])
+        joint = before[:, :, None] * a[None] * nxt[:, None, :]
         total += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         back[:m] = _unit(nxt @ a.T)
-    return total
+    if len(start):
+        post[start] = _unit(post[start] * back)
+    return post, total
 
 
 def fit(docs: DataFrame, modulus: int = 4, remainder: int = 2, most: int = MAX_TEXTS) -> Crf | None:
@@ -236,8 +268,9 @@ def predict(docs: DataFrame, model: Crf | None, id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = spec.value
+        k = len(crf.languages) if crf else 0
         row_of: dict[str, int] = {}
-        table: list[np.ndarray] = []
+        scores = np.zeros((0, k), np.float32)
         for batch in batches:
             texts = batch.column(1)
             if crf is None:
@@ -246,16 +279,15 @@ def predict(docs: DataFrame, model: Crf | None, id: str = "doc_id", text: str =
                 continue
             codes, offsets, known = words(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")))
             if len(row_of) > CACHE:
-                row_of, table = {}, []
-            place = np.empty(len(known), np.int64)
-            for i, w in enumerate(known.to_pylist()):
-                r = row_of.get(w)
-                if r is None:
-                    r = row_of[w] = len(table)
-                    table.append(crf.emission(w))
-                place[i] = r
-            k = len(crf.languages)
-            emission = np.array([table[r] for r in place], np.float32).reshape(-1, k)
+                row_of, scores = {}, scores[:0]
+            names = known.to_pylist()
+            new = [w for w in names if w not in row_of]
+            used = len(row_of)
+            if used + len(new) > len(scores):
+                scores = np.vstack([scores[:used], np.zeros((used + 2 * len(new), k), np.float32)])
+            scores[used : used + len(new)] = crf.emissions(new)
+            row_of.update(zip(new, range(used, used + len(new))))
+            emission = scores[np.fromiter(map(row_of.__getitem__, names), np.int64, len(names))]
             letter = np.asarray(pc.match_substring_regex(known, r"\pL")).astype(bool)
             post = posteriors(emission[codes].astype(np.float64), offsets, crf.transitions)
             counted = letter[codes]
