@@ -4,8 +4,10 @@ A text's fingerprint has a bit where more than half of the XXH64 (seed 42) of it
 word shingles have one. Fingerprints within ``RADIUS`` bits link; a component's id
 is the smallest document id in it.
 
-Two fingerprints within r bits agree in one of r + 1 bands, so every band value
-names a shard and no link crosses all shards. A shard's tree has children keyed
+Two fingerprints within r bits agree in m of r + m bands, so every choice of m bands
+and their value names a shard, and no link crosses all shards. m is the smallest with
+which a shard of evenly spread fingerprints has at most ``SHARD`` entries; a larger
+corpus gets more choices of longer values, not larger shards. A shard's tree has children keyed
 by their Hamming distance to the parent; a query at distance d from a node follows
 only edges from d - r to d + r. Trees of all shards in a task are built and searched
 together, a level at a time, in numpy. Equal fingerprints are one entry from the
@@ -26,11 +28,12 @@ takes part and is the smallest only where nothing else is.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, words
@@ -40,8 +43,9 @@ SEED = 42
 RADIUS = 4
 BLOCK = 4096
 DEGREE = 16
-#: Shards that one Python call gets together, by their value's low bits.
-SHARDS_TOGETHER = 64
+#: Entries of a shard, and of the shards that one Python call gets together, if spread evenly.
+SHARD = 64
+TOGETHER = 2048
 
 
 def fingerprint(tokens: list[bytes], k: int = SHINGLE) -> int:
@@ -176,15 +180,30 @@ def linked(keys: np.ndarray, shard: np.ndarray, block: np.ndarray, radius: int)
     return forest(keys, label)
 
 
-def bands(radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 bands of 64 bits."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def tables(n: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
+    """For n entries the choices of bands, each band as (shift, width)."""
+    match = 1
+    while n / 2.0 ** (64 * match / (radius + match)) > SHARD and match < 6:
+        match += 1
+    k = radius + match
+    edges = [64 * i // k for i in range(k + 1)]
+    return [[(edges[i], edges[i + 1] - edges[i]) for i in own] for own in combinations(range(k), match)]
+
+
+def value_of(fp: Column, bands: list[tuple[int, int]]) -> Column:
+    """The bits of the bands side by side."""
+    out: Column = F.lit(0).cast("long")
+    for shift, width in bands:
+        out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)))
+    return out
 
 
 def links(entries: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """entries: fp, distinct. Pairs a, b of fingerprints that connect all that link."""
-    pieces = [F.struct(F.lit(i).alias("band"), F.shiftright("fp", s).bitwiseAND(F.lit((1 << w) - 1)).cast("int").alias("value")) for i, (s, w) in enumerate(bands(radius))]
+    n = entries.count()
+    chosen = tables(n, radius)
+    bits = min(sum(w for _, w in bands) for bands in chosen)
+    pieces = [F.struct(F.lit(i).alias("band"), value_of(F.col("fp"), bands).alias("value")) for i, bands in enumerate(chosen)]
     rows = entries.select("fp", F.explode(F.array(*pieces)).alias("p")).select("fp", "p.band", "p.value")
     sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     large = stored(sizes.select("band", "value", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large-shards")
@@ -194,8 +213,9 @@ def links(entries: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataF
     asked = F.explode(F.sequence(F.lit(0), own))
     rows = rows.withColumn("own", own).withColumn("tree", asked)
     rows = rows.select("fp", "band", "value", "tree", (F.col("own") != F.col("tree")).cast("int").alias("asks"))
-    rows = rows.withColumn("together", F.floor(F.col("value") / SHARDS_TOGETHER).cast("int"))
-    rows = rows.withColumn("lone", F.when(F.col("asks").isNull(), 0).otherwise(F.col("tree")))
+    # Neighbouring shards share a call; blocks of a large shard have one each.
+    shift = max(0, bits - max(0, n // TOGETHER).bit_length())
+    rows = rows.withColumn("together", F.shiftright("value", shift))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("value", "ascending"), ("asks", "ascending"), ("fp", "ascending")])
@@ -203,7 +223,7 @@ def links(entries: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataF
         a, b = linked(keys, table["value"].to_numpy(), table["asks"].to_numpy(), radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return rows.groupBy("band", "together", "lone").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("band", "together", "tree").applyInArrow(run, "a long, b long").distinct()
 
 
 def components(entries: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -130,8 +130,9 @@ def clusters(seed, centres=30, size=25):
     return np.unique(np.array(out, np.uint64))
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_no_link_is_lost_whatever_the_blocks(spark, block):
+@pytest.mark.parametrize("block,shard", [(7, 64), (4096, 64), (4096, 1e-3), (50, 1e-9)])
+def test_no_link_is_lost_whatever_the_blocks(spark, block, shard, monkeypatch):
+    monkeypatch.setattr(simhash_bk, "SHARD", shard)
     prints = clusters(block)
     entries = spark.createDataFrame([(int(x), i) for i, x in enumerate(prints.view(np.int64))], "fp long, low long")
     found = simhash_bk.components(entries, simhash_bk.links(entries.select("fp"), block=block))
@@ -140,6 +141,15 @@ def test_no_link_is_lost_whatever_the_blocks(spark, block):
     assert got == brute_components(prints, list(range(len(prints))))
 
 
+def test_larger_corpora_get_more_choices():
+    assert len(simhash_bk.tables(10_000)) == 5
+    assert len(simhash_bk.tables(15_000_000)) == 15
+    assert len(simhash_bk.tables(30_000_000_000)) == 70
+    for n in (100, 15_000_000, 10**12):
+        for bands in simhash_bk.tables(n):
+            assert sum(w for _, w in bands) <= 62
+
+
 def test_trees_find_what_is_near():
     r = np.random.default_rng(2)
     keys = np.unique(r.integers(0, 2**14, 800).astype(np.uint64))
