@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 from .common import fold, parts, per_text, small_batches, stored, words
 
 DEPTH = 3
-MIN_CONTEXT = 2e-5
-MIN_JOINT = 2e-6
+MIN_CONTEXT = 2e-6
+MIN_JOINT = 2e-7
 MIN_DIVERGENCE = 0.02
 KAPPA = 1.0
 BLOCK_BYTES = 16 << 20
-SLICE = 500
+SLICE = 1500
 #: A worker sums up its counts when it holds so many keys.
 HELD = 3_000_000
 #: Stands for the end in tables of words; no word is empty.
@@ -72,9 +72,11 @@ class Tree:
 
     def numbered(self, known: pa.Array, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbols with an end after each text, the text of each): 0 for symbols the tree doesn't have, else the place from 1."""
-        found = pc.fill_null(pc.index_in(known, value_set=self.symbols), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        end = pc.index_in(pa.scalar(END), value_set=self.symbols).as_py()
-        return with_ends(found[codes], offsets, 0 if end is None else end + 1)
+        found = self.numbers(known)
+        return with_ends(found[codes], offsets, self.numbers(pa.array([END]))[0])
+
+    def numbers(self, known: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(known, value_set=self.symbols), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
 
 
 def with_ends(values: np.ndarray, offsets: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
@@ -98,22 +100,23 @@ def context_keys(tree: Tree, symbol: np.ndarray, text: np.ndarray) -> Iterator[n
 
     A context's key is its last word alone, or the place of its front in the level above with its last word.
     """
-    n = len(symbol)
+    last = np.r_[0, symbol[:-1]]
     front = None
     for k, level in enumerate(tree.levels):
-        key = np.full(n, -1)
-        inside = np.zeros(n, bool)
-        inside[k + 1 :] = text[k + 1 :] == text[: n - k - 1] if n > k + 1 else False
-        last = np.r_[0, symbol[:-1]]
         if front is None:
-            ok = inside & (last > 0)
-            key[ok] = last[ok]
+            # Words are few enough to look up by number.
+            of_word = np.full(tree.width, -1)
+            of_word[level.keys] = np.arange(len(level.keys))
+            place = of_word[last]
+            place[np.r_[True, text[1:] != text[:-1]]] = -1
         else:
             # What stood before the last word was the context of that word.
             before = np.r_[-1, front[:-1]]
-            ok = inside & (last > 0) & (before >= 0)
-            key[ok] = before[ok] * tree.width + last[ok]
-        front = places(level, key)
+            ok = np.flatnonzero((front >= 0) & (before >= 0))
+            ok = ok[text[ok] == text[ok - k - 1]]
+            place = np.full(len(symbol), -1)
+            place[ok] = places(level, before[ok] * tree.width + last[ok])
+        front = place
         yield front
 
 
@@ -255,7 +258,7 @@ def vocabulary(rows: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         keys, n = [], []
-        for batch in table.to_batches(max_chunksize=SLICE):
+        for batch in table.combine_chunks().to_batches(max_chunksize=SLICE):
             codes, offsets, known = words(batch["text"], lower=True)
             teach = np.repeat(~batch["held_out"].to_numpy(zero_copy_only=False), np.diff(offsets))
             keys.append(known)
@@ -286,13 +289,16 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus: int
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own, out = spec.value, []
-        word, n = right["word"].combine_chunks(), np.r_[right["n"].to_numpy(), 0]
-        for batch in left.to_batches(max_chunksize=SLICE):
+        # Of each word of the block, and of one it doesn't have: the count and the tree's number.
+        word = right["word"].combine_chunks()
+        n, number = np.r_[right["n"].to_numpy(), 0], np.r_[own.numbers(word), 0]
+        end = pc.index_in(pa.scalar(END), value_set=word).as_py()
+        end = -1 if end is None else end
+        for batch in left.combine_chunks().to_batches(max_chunksize=SLICE):
             codes, offsets, seen = words(batch["text"], lower=True)
-            at = pc.fill_null(pc.index_in(seen, value_set=word), -1).to_numpy(zero_copy_only=False)
-            end = pc.index_in(pa.scalar(END), value_set=word).as_py()
-            count, _ = with_ends(n[at][codes].astype(np.int64), offsets, n[-1 if end is None else end])
-            symbol, place = own.numbered(seen, codes, offsets)
+            at = pc.fill_null(pc.index_in(seen, value_set=word), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            at, place = with_ends(at[codes], offsets, end)
+            count, symbol = n[at], number[at]
             log_root = np.log10((count + 0.5) / unit)
             value = score_tokens(own, symbol, place, log_root)
             bounds = offsets + np.arange(len(offsets))
