@@ -2,8 +2,8 @@
 
 A logistic model over binned ratios of a text's counts minimises the non-negative
 unbiased risk: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
-with a step that raises the second part again where it falls below zero. No negative
-label is read. The class prior comes from the same two samples: a first model tells
+with a step that raises the second part again where it falls below zero: first with the
+logistic loss, then with the bounded sigmoid loss. No negative label is read. The class prior comes from the same two samples: a first model tells
 positives from unlabelled texts, and over the thresholds of its score on the other
 half the smallest upper bound of (share of unlabelled above) / (share of positives
 above) is the prior.
@@ -30,6 +30,7 @@ from .text_stats import COUNTS, counts, with_counts
 MAX_POSITIVE = 12_000
 MAX_UNLABELLED = 12_000
 BINS = 12
+STEPS = 8
 PRIOR = 0.5
 THRESHOLD = 0.7
 
@@ -68,7 +69,12 @@ class Model:
 
 
 def bin_edges(f: np.ndarray) -> list[np.ndarray]:
-    return [np.unique(np.quantile(f[:, k], np.r_[np.linspace(0, 1, BINS + 1)[1:-1], 0.95, 0.98, 0.99])) for k in range(f.shape[1])]
+    """For each feature quantiles, and even steps of its range, so that rare large values aren't in one bin with common small ones."""
+    out = []
+    for v in f.T:
+        quantiles = np.quantile(v, np.r_[np.linspace(0, 1, BINS + 1)[1:-1], 0.95, 0.98, 0.99])
+        out.append(np.unique(np.r_[quantiles, np.linspace(v.min(), v.max(), STEPS + 1)[1:-1]]))
+    return out
 
 
 def _descend(model: Model, gradient, steps: int = 400, rate: float = 0.05) -> None:
@@ -94,20 +100,29 @@ def _both(model: Model, positive: np.ndarray, unlabelled: np.ndarray):
     return dp, du, logits, back
 
 
-def minimise_risk(positive: np.ndarray, unlabelled: np.ndarray, edges: list[np.ndarray], prior: float, decay: float = 1e-4) -> Model:
+def minimise_risk(positive: np.ndarray, unlabelled: np.ndarray, edges: list[np.ndarray], prior: float, decay: float = 1e-5) -> Model:
     model = Model(edges, np.zeros(1 + sum(len(e) + 1 for e in edges)), prior)
     dp, du, logits, back = _both(model, positive, unlabelled)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def gradient(w: np.ndarray) -> np.ndarray:
+    def logistic(w: np.ndarray) -> np.ndarray:
         zp, zu = logits(w, dp), logits(w, du)
-        loss_minus = lambda z: np.logaddexp(0, z).mean()
-        negative = loss_minus(zu) - prior * loss_minus(zp)
         plus = prior * back(dp, (sigmoid(zp) - 1) / len(zp))
         minus = back(du, sigmoid(zu) / len(zu)) - prior * back(dp, sigmoid(zp) / len(zp))
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         return (plus + minus if negative >= 0 else -minus) + decay * w
 
-    _descend(model, gradient)
+    def bounded(w: np.ndarray) -> np.ndarray:
+        sp, su = sigmoid(logits(w, dp)), sigmoid(logits(w, du))
+        slope_p, slope_u = sp * (1 - sp), su * (1 - su)
+        plus = -prior * back(dp, slope_p / len(sp))
+        minus = back(du, slope_u / len(su)) - prior * back(dp, slope_p / len(sp))
+        return (plus + minus if su.mean() - prior * sp.mean() >= 0 else -minus) + decay * w
+
+    # The logistic loss finds the way; its tail is noise next to the few negatives, so
+    # the bounded sigmoid loss finishes.
+    _descend(model, logistic)
+    _descend(model, bounded)
     return model
 
 
