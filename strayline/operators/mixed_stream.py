@@ -174,6 +174,14 @@ def fit_score(df: DataFrame, spec: MixedSpec, params: MixedParams, first_tick: i
     return rows.withColumn("total", sum((F.col(n) for n in named.values()), F.lit(0.0)))
 
 
+def beside(rows: DataFrame, facts: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """rows with the columns of facts: of their key, or, without one, of the only row there is, as literals."""
+    if key:
+        return rows.join(facts, list(key), "left")
+    row = facts.first()
+    return rows.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in facts.schema.fields})
+
+
 @dataclass
 class MixedModel:
     """What a stream has left behind: counts by cell as of the last tick, and the numbers' ranges.
@@ -190,11 +198,7 @@ class MixedModel:
         """Previews: the score each row would get as the next one, at its own tick. Nothing is counted."""
         spec, params = self.spec, self.params
         names = [*spec.key, spec.tick, *spec.order]
-        q = queries.alias("q")
-        if spec.key:
-            q = q.join(self.ranges, list(spec.key), "left")
-        else:
-            q = q.crossJoin(F.broadcast(self.ranges))  # one row
+        q = beside(queries, self.ranges, spec.key)
         for i, c in enumerate(spec.numeric):
             a = F.asinh(F.col(c).cast("double"))
             low, high = F.least(F.col(f"low_{i}"), a), F.greatest(F.col(f"high_{i}"), a)
@@ -203,7 +207,7 @@ class MixedModel:
         cell = [*spec.key, "feature", "hash_row", "bucket"]
         long = long.join(self.cells, cell, "left").fillna(0, ["total", "current"])
         ranges = self.ranges.select(*spec.key, "first_tick", "last_tick")
-        long = long.join(ranges, list(spec.key), "left") if spec.key else long.crossJoin(F.broadcast(ranges))
+        long = beside(long, ranges, spec.key)
         features = ["r", *[f"n{i}" for i in range(len(spec.numeric))], *[f"c{j}" for j in range(len(spec.categorical))]]
         low = [F.min(F.when(F.col("feature") == f, F.col(v))).alias(f"__{v[0]}_{f}") for f in features for v in ("total", "current")]
         rows = long.groupBy(*names).agg(*low, F.min("first_tick").alias("__first"), F.min("last_tick").alias("__last"))
@@ -224,7 +228,7 @@ def fit(df: DataFrame, spec: MixedSpec, params: MixedParams, fast: bool = False)
     long = cells(normalised(df, spec), spec, params, fast)
     ticks = long.groupBy(*cell, spec.tick).agg(F.count("*").alias("n"))
     last = ranges.select(*spec.key, "last_tick")
-    ticks = ticks.join(last, list(spec.key)) if spec.key else ticks.crossJoin(F.broadcast(last))
+    ticks = beside(ticks, last, spec.key)
     decayed = F.col("n") * F.pow(F.lit(params.alpha), (F.col("last_tick") - F.col(spec.tick)).cast("double"))
     held = ticks.groupBy(*cell).agg(F.sum("n").alias("total"), F.sum(decayed).alias("current"))
     return MixedModel(spec, params, held, ranges)

@@ -8,6 +8,7 @@ The window forms in the other modules give the same scores for whole tables at o
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import deque
 from collections.abc import Iterable, Mapping, Sequence
@@ -305,7 +306,7 @@ class ForestEngine:
         self.ids = list(range(self.params.num_trees) if trees is None else trees)
         self.draws = {t: Draws(self.params.seed, 2 * t) for t in self.ids}
         self.trees = {t: CutTree(Draws(self.params.seed, 2 * t + 1)) for t in self.ids}
-        # Each tree's sample: (weight, number of the row, point), the largest weight leaves first.
+        # Each tree's sample: a heap of (minus weight, number of the row, point), so that the largest weight leaves first.
         self.samples: dict[int, list[tuple[float, int, np.ndarray]]] = {t: [] for t in self.ids}
         self.buffer = np.zeros((self.params.shingle_size, self.params.input_dim))
         self.entries_seen = 0
@@ -347,11 +348,10 @@ class ForestEngine:
                 if draws.next() >= chance:
                     continue
             else:
-                worst = max(range(len(sample)), key=lambda i: sample[i][:2])
-                if weight >= sample[worst][0]:
+                if weight >= -sample[0][0]:
                     continue
-                self.trees[t].delete(sample.pop(worst)[2])
-            sample.append((weight, self.entries_seen, x))
+                self.trees[t].delete(heapq.heappop(sample)[2])
+            heapq.heappush(sample, (-weight, self.entries_seen, x))
             self.trees[t].insert(x)
 
     def _mean(self, f) -> float:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, scoring, vectors
 from ..operators import mixed_stream, prefix
+from ..operators.nearest import l1_nearest
 from ..operators.sequence import numbered
 from .common import EVENTS, SEED, events, r, rounded, table
 
@@ -203,12 +204,10 @@ SELECT vec_id, {r('sum(abs(x - y))')} AS distance, {r('coalesce(sum(abs(x - y))
 
 
 def l1_knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest of all vectors for each id divisible by 50: a stated query set, broadcast, against all rows."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    asked = rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    near = asked.join(rows, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", rounded(scoring.l1(F.col("q"), F.col("e")), "distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return near.withColumn("rank", rank).filter("rank <= 5")
+    """The five nearest of all vectors for each id divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = l1_nearest(rows.filter("vec_id % 50 = 0"), rows, 5, "vec_id", "embedding")
+    return found.select("query_id", F.col("id").alias("vec_id"), rounded("distance"), "rank")
 
 
 KNN_SQL = f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
