@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cut_forest import spread
 from . import bpe_dp, crf_langid, decision_list, exact_dedup, mixing, quality_pu, simhash_bk, suffix_tree, toxicity_knn, warc
 from .common import fold
 
@@ -16,8 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out where they lie in fewer pieces than there are cores."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     model = quality_pu.fit(docs, table(spark, sf_dir, "labels"))
     found = quality_pu.score(docs, model).withColumn("held_out", fold(F.col("doc_id"), 4, 2))
     return found.select("doc_id", "held_out", "score", (F.col("score") >= quality_pu.THRESHOLD).cast("int").alias("predicted"))
@@ -28,7 +34,7 @@ def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree.score(table(spark, sf_dir, "documents"))
+    return suffix_tree.score(texts(spark, sf_dir))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +56,7 @@ FROM t WINDOW g AS (PARTITION BY s)
 
 
 def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     found = crf_langid.predict(docs, crf_langid.fit(docs)).withColumn("held_out", fold(F.col("doc_id"), 4, 2))
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
@@ -92,22 +98,22 @@ SELECT doc_id, size, source_size, target, (size * epochs + greatest(0, least(siz
 
 
 def op7_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     index = toxicity_knn.fit(docs, table(spark, sf_dir, "labels"))
     found = toxicity_knn.score(docs, index).withColumn("held_out", fold(F.col("doc_id"), 3, 1))
     return found.select("doc_id", "held_out", "score", (F.col("score") >= toxicity_knn.THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_bk.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash_bk.near_duplicates(texts(spark, sf_dir))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_dp.digests(table(spark, sf_dir, "documents"), TOKENIZER)
+    return bpe_dp.digests(texts(spark, sf_dir), TOKENIZER)
 
 
 def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     found = decision_list.judged(docs, decision_list.fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
