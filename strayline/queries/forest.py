@@ -266,7 +266,8 @@ def rcf_lineitem_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("seq", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     params = ForestParams(4, seed=SEED, time_decay=1e-9)
     forest, _ = cut_forest.fit(rows, params, fast=True)
-    return forest.score(rows.select("l_orderkey", "l_linenumber", "vec")).select("l_orderkey", "l_linenumber", rounded("score"))
+    asked = cut_forest.spread(rows.select("l_orderkey", "l_linenumber", "vec"))
+    return forest.score(asked).select("l_orderkey", "l_linenumber", rounded("score"))
 
 
 QUERIES = {
