@@ -34,6 +34,9 @@ from .common import small_batches
 #: Entries of each half of a worker's cache of encoded cuts. When the newer half is
 #: full it becomes the older one, from which cuts that come again move back.
 CACHE = 400_000
+#: Pairs of tokens whose compatibility a worker remembers, and short pieces.
+PAIRS = 250_000
+SHORT = 5
 
 # Letters and numbers of Unicode 17, which the tokenizer's older
 # tables don't have and treat as symbols.
@@ -87,9 +90,11 @@ class Bpe:
                 self.ends.add_word(t.decode("latin-1"), (i, len(t)))
         self.ends.make_automaton()
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.cuts: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
+        self.bytes_of_name = {str(i): t for i, t in self.bytes_of.items()}
+        self.fits: dict[int, bool] = {}
+        self.short: dict[str, str] = {}
+        self.cuts: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -108,7 +113,7 @@ class Bpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a text of the two tokens' bytes encodes as just these two."""
-        if (found := self.fits.get((a, b))) is None:
+        if (found := self.fits.get(a << 32 | b)) is None:
             left, right = self.edge(a, 1), self.edge(b, 0)
             i = j = 0
             while True:
@@ -125,46 +130,58 @@ class Bpe:
                     i += 1
                 else:
                     j += 1
-            if len(self.fits) >= CACHE:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
-            self.fits[a, b] = found
+            self.fits[a << 32 | b] = found
         return found
 
     def piece(self, data: bytes) -> list[int]:
-        last: list[int] = [-1] * (len(data) + 1)
+        last, fits = [-1] * (len(data) + 1), self.fits
         for end, (token, size) in self.ends.iter(data.decode("latin-1")):
             end += 1
-            if last[end] < 0 and (size == end or (last[end - size] >= 0 and self.compatible(last[end - size], token))):
-                last[end] = token
+            if last[end] < 0:
+                if size == end:
+                    last[end] = token
+                elif (before := last[end - size]) >= 0:
+                    ok = fits.get(before << 32 | token)
+                    if self.compatible(before, token) if ok is None else ok:
+                        last[end] = token
         ids, end = [], len(data)
         while end:
             ids.append(last[end])
             end -= len(self.token[last[end]])
         return ids[::-1]
 
-    def cut(self, text: str) -> tuple[str, int, bytes]:
-        """(ids joined by commas, how many, the bytes they decode to) of what lies between two cuts."""
+    def named(self, text: str) -> str:
+        """The ids of a piece, joined by commas; those of short ones are remembered."""
+        if (found := self.short.get(text)) is None:
+            found = ",".join([str(i) for i in self.piece(text.encode())])
+            if len(text) <= SHORT and len(self.short) < PAIRS:
+                self.short[text] = found
+        return found
+
+    def cut(self, text: str) -> str:
+        """The ids, joined by commas, of what lies between two cuts."""
         if (found := self.cuts.get(text)) is None:
             found = self.older.get(text)
             if found is None:
-                ids = [i for p in PIECE.findall(text) for i in self.piece(p.encode())]
-                found = ",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
+                found = ",".join([self.named(p) for p in PIECE.findall(text)])
             if len(self.cuts) >= CACHE:
                 self.cuts, self.older = {}, self.cuts
             self.cuts[text] = found
         return found
 
-    def parts(self, text: str) -> Iterator[tuple[str, int, bytes]]:
+    def parts(self, text: str) -> Iterator[str]:
         start = 0
         for m in self.at_special.finditer(text) if self.at_special else ():
             if m.start() > start:
                 yield from self.plain(text[start : m.start()])
-            yield str(self.special[m[0]]), 1, m[0].encode()
+            yield str(self.special[m[0]])
             start = m.end()
         if start < len(text):
             yield from self.plain(text[start:])
 
-    def plain(self, text: str) -> Iterator[tuple[str, int, bytes]]:
+    def plain(self, text: str) -> Iterator[str]:
         first, *rest = CUT.split(text) if ODD.search(text) else text.split(" ")
         cut = self.cut
         if first:
@@ -174,17 +191,17 @@ class Bpe:
             yield self.cuts.get(x) or cut(x)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, n, _ in self.parts(text) if n for i in ids.split(",")]
+        return [int(i) for ids in self.parts(text) for i in ids.split(",")]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace")
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(tokens, SHA-256 of the ids joined by commas, SHA-256 of the text that the ids decode to)."""
-        found = list(self.parts(text))
-        ids = ",".join([x[0] for x in found])
-        back = b"".join([x[2] for x in found]).decode(errors="replace").encode()
-        return sum([x[1] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+        ids = ",".join(self.parts(text))
+        names = ids.split(",") if ids else []
+        back = b"".join(map(self.bytes_of_name.__getitem__, names)).decode(errors="replace").encode()
+        return len(names), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
 _loaded: dict[int, Bpe] = {}
