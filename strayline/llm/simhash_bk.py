@@ -16,9 +16,11 @@ to the tasks of the blocks that query it, so a shard never has to fit in one tas
 
 A shard hands on no pairs but a tree of bounded degree over each of its components,
 which connects the same fingerprints with at most one edge for each entry.
-Components of all shards join by label passing with pointer jumping over checkpointed
-tables: the smaller of the labels around an entry, then the label of that label,
-until nothing changes.
+Components of all shards join by contraction over checkpointed tables: each label goes
+to the one of the lowest rank around it, then to where that one goes, and the pairs are
+those of the new labels, until none is left. Ranks are hashes that change every round,
+so that a label that has neighbours goes on with a chance of a half or more and rounds
+grow with the logarithm of a component's size, whatever its form.
 
 Null and empty texts have fingerprint zero, which links like any other. An empty
 table gives an empty result; rows that repeat an id are all returned; a null id
@@ -228,19 +230,28 @@ def links(entries: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataF
 
 def components(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     """entries: fp, low (the smallest id). Returns fp and component_id for those that pairs touch."""
-    both = stored(pairs.union(pairs.select("b", "a")).toDF("a", "b").distinct(), "pairs")
-    touched = both.select(F.col("a").alias("fp")).distinct()
-    label = stored(touched.select("fp", F.col("fp").alias("label")), "labels-0")
-    for step in range(1, 65):
-        near = both.join(label.select(F.col("fp").alias("b"), "label"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("near"))
-        new = label.join(near, "fp").select("fp", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        new = stored(new, f"near-{step}")
-        jump = new.select(F.col("fp").alias("label"), F.col("label").alias("further"))
-        new = stored(new.join(jump, "label").select("fp", "old", F.least("label", "further").alias("label")), f"labels-{step}")
-        changed = new.filter("label != old").limit(1).count()
-        label = new.select("fp", "label")
-        if not changed:
-            break
+    both = stored(pairs.union(pairs.select("b", "a")).toDF("a", "b").filter("a != b").distinct(), "pairs")
+    hooks: list[DataFrame] = []
+    while not both.isEmpty():
+        step = len(hooks)
+
+        def ranked(name: str) -> Column:
+            return F.struct(F.xxhash64(F.col(name), F.lit(step)).alias("rank"), F.col(name).alias("label"))  # noqa: B023
+
+        near = both.groupBy(F.col("a").alias("fp")).agg(F.min(ranked("b")).alias("near"))
+        up = stored(near.select("fp", F.least(F.col("near"), ranked("fp"))["label"].alias("up")), f"up-{step}")
+        further = up.select(F.col("fp").alias("up"), F.col("up").alias("label"))
+        hook = stored(up.join(further, "up").select("fp", "label"), f"hooks-{step}")
+        hooks.append(hook)
+        both = both.join(hook.toDF("a", "x"), "a").join(hook.toDF("b", "y"), "b")
+        both = stored(both.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), f"pairs-{step}")
+    if not hooks:
+        return entries.select("fp", F.col("low").alias("component_id")).limit(0)
+    # From the last round back: a label that went on is replaced by where it went.
+    label = hooks.pop()
+    while hooks:
+        on = label.toDF("label", "further")
+        label = stored(hooks.pop().join(on, "label", "left").select("fp", F.coalesce("further", "label").alias("label")), f"labels-{len(hooks)}")
     lowest = label.join(entries, "fp").groupBy("label").agg(F.min("low").alias("component_id"))
     return label.join(stored(lowest, "lowest"), "label").select("fp", "component_id")
 

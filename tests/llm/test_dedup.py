@@ -141,6 +141,15 @@ def test_no_link_is_lost_whatever_the_blocks(spark, block, shard, monkeypatch):
     assert got == brute_components(prints, list(range(len(prints))))
 
 
+def test_long_chains_are_one_component(spark):
+    """Neighbours of a chain whose fingerprints are in no order, as of successive revisions."""
+    chain = np.random.default_rng(0).permutation(1000).tolist()
+    entries = spark.createDataFrame([(x, i) for i, x in enumerate([*chain, 2000, 2001])], "fp long, low long")
+    pairs = spark.createDataFrame([*zip(chain, chain[1:]), (2000, 2001)], "a long, b long")
+    found = {r.fp: r.component_id for r in simhash_bk.components(entries, pairs).collect()}
+    assert found == {**dict.fromkeys(chain, 0), 2000: 1000, 2001: 1000}
+
+
 def test_larger_corpora_get_more_choices():
     assert len(simhash_bk.tables(10_000)) == 5
     assert len(simhash_bk.tables(15_000_000)) == 15
