@@ -178,6 +178,16 @@ def test_near_copies_prove_no_term(spark):
     assert "w:zebra" not in index.vocabulary.to_pylist()
 
 
+def test_short_words_prove_a_term(spark):
+    """Short comments without a long word are different texts unless they are equal."""
+    rows = [(i, f"you {chr(97 + i % 26)}o{i} dolt", 1) for i in range(30)] + [(100 + i, "oaf oaf be it", 1) for i in range(30)] + [(200 + i, f"good {chr(97 + i % 26)}a{i} day", 0) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    index = toxicity_knn.fit(docs, labels, modulus=1000, remainder=999)
+    assert "w:dolt" in index.vocabulary.to_pylist()
+    assert "w:oaf" not in index.vocabulary.to_pylist()
+
+
 def test_prior_and_risk_on_made_up_texts():
     r = np.random.default_rng(3)
     good = lambda n: np.column_stack([r.normal(2, 1, n), r.normal(0, 1, n)])
