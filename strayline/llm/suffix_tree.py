@@ -3,10 +3,8 @@
 Symbols are lower-cased (A-Z) words and one end. The root is the smoothed unigram
 distribution over all training texts, with half a count for every known symbol and
 half for all unknown ones together. A context of one to ``DEPTH`` words is a candidate
-if its share of all training tokens is ``MIN_CONTEXT`` or more; of its next symbols
-those with a joint share of ``MIN_JOINT`` or more are stored. The shares prove the
-bounds of the tree: at most 1 / MIN_CONTEXT contexts a level and 1 / MIN_JOINT next
-symbols, at every size of the corpus. A candidate is retained if its distribution
+if training has it ``MIN_CONTEXT`` times or more; of its next symbols those that follow
+it ``MIN_JOINT`` times or more are stored. The tree grows with the corpus. A candidate is retained if its distribution
 diverges from that of its longest retained suffix by ``MIN_DIVERGENCE`` nats a token or
 more. What a state doesn't store it leaves to that suffix, so that every state's
 distribution sums to one:
@@ -15,9 +13,13 @@ distribution sums to one:
 
 A token is scored by the longest state that is a suffix of what comes before it.
 
-The vocabulary is as large as the corpus makes it and is never broadcast. Texts are
-dealt into blocks by a hash; each block's distinct words meet their counts in a join
-by word and go back to the block, where its texts are scored.
+Vocabulary and tree are as large as the corpus makes them and are never broadcast. Texts
+are dealt into blocks by a hash; each block's distinct words meet their counts in a join
+by word and go back to the block. From there each token goes, with the three words before
+it, to the part of its last word. A context's suffixes end in the same word, so a part
+has all counts of its contexts: it grows their branch of the tree, scores its tokens, and
+hands on sums by text. All tokens after one word are one part's, so the most common word
+sets the size of the largest part.
 
 Null texts count as empty and hold just the end. Held-out texts teach nothing. Without
 training texts N and V are 0 and every token is unknown. Rows that repeat are all scored.
@@ -37,12 +39,14 @@ from pyspark.sql import functions as F
 from .common import fold, parts, per_text, small_batches, stored, words
 
 DEPTH = 3
-MIN_CONTEXT = 2e-6
-MIN_JOINT = 2e-7
+MIN_CONTEXT = 2
+MIN_JOINT = 2
 MIN_DIVERGENCE = 0.02
 KAPPA = 1.0
 BLOCK_BYTES = 16 << 20
 SLICE = 1500
+#: Training tokens of a part, if spread evenly.
+PART_TOKENS = 2_000_000
 #: A worker sums up its counts when it holds so many keys.
 HELD = 3_000_000
 #: Stands for the end in tables of words; no word is empty.
@@ -153,8 +157,8 @@ def count_next(docs: DataFrame, tree: Tree) -> DataFrame:
 
 
 def grow(docs: DataFrame, known: DataFrame, total: int, kinds: int, depth: int = DEPTH) -> Tree:
-    """docs: training texts; known: word and n, the training counts; total: N; kinds: V."""
-    joint, context = max(2.0, MIN_JOINT * total), max(2.0, MIN_CONTEXT * total)
+    """The tree as one object, for corpora that fit the driver. docs: training texts; known: word and n, the training counts; total: N; kinds: V."""
+    joint, context = MIN_JOINT, MIN_CONTEXT
     often = known.filter(F.col("n") >= joint).orderBy("word").toPandas()
     tree = Tree(pa.array(often["word"], pa.string()))
     if not len(often):
@@ -275,49 +279,137 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return each.withColumn("first", F.col("block") == F.min("block").over(of_word)).withColumn("n", F.sum("n").over(of_word))
 
 
+def payloads(rows: DataFrame, known: DataFrame, n_parts: int) -> DataFrame:
+    """part, data: the tokens of a block's texts that follow a word of the part, with the three words before each."""
+    spec = pa.schema([("part", pa.int32()), ("data", pa.binary())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        # Rows that are equal in id and text are scored once and teach as often as they are there.
+        left = left.group_by(["doc", "held_out"]).aggregate([("text", "min"), ("text", "count")])
+        word = right["word"].combine_chunks()
+        hashes, n = np.r_[right["h"].to_numpy(), 0], np.r_[right["n"].to_numpy(), 0]
+        # Words that no state can have are told apart by their counts alone.
+        kind = np.where(n >= min(MIN_JOINT, MIN_CONTEXT), np.arange(len(n)), -1 - n).astype(np.int32)
+        end = pc.index_in(pa.scalar(END), value_set=word).as_py()
+        out: dict[str, list] = {"part": [], "data": []}
+        for batch in left.combine_chunks().to_batches(max_chunksize=SLICE):
+            codes, offsets, seen = words(batch["text_min"], lower=True)
+            at = kind[pc.fill_null(pc.index_in(seen, value_set=word), -1).to_numpy(zero_copy_only=False)]
+            symbol, text = with_ends(at[codes], offsets, kind[-1 if end is None else end])
+            text = text.astype(np.int32)
+            weight = np.where(batch["held_out"].to_numpy(zero_copy_only=False), 0, batch["text_count"].to_numpy())
+            before = [symbol]
+            for k in range(1, DEPTH + 1):
+                back = np.full(len(symbol), -1, np.int32)
+                back[k:] = np.where(text[k:] == text[:-k], np.maximum(symbol[:-k], -1), -1)
+                before.append(back)
+            doc = batch["doc"].to_numpy()
+            # Tokens without a context go anywhere.
+            route = np.where(before[1] >= 0, hashes[before[1]], doc[text])
+            part = (route.view(np.uint64) % np.uint64(n_parts)).astype(np.int32)
+            order = np.lexsort((symbol, before[1], part))
+            cut = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0]) if len(order) else np.zeros(0, np.int64)
+            for a, z in zip(cut, np.r_[cut[1:], len(order)]):
+                own = order[a:z]
+                used, local = np.unique(np.stack([b[own] for b in before]), return_inverse=True)
+                docs, of_doc = np.unique(text[own], return_inverse=True)
+                below, used = used[used < 0], used[used >= 0]
+                local = np.r_[below, np.arange(len(used))][local.reshape(DEPTH + 1, -1)]
+                pieces = [hashes[used], n[used], local.astype(np.int32), doc[docs], weight[docs], of_doc.astype(np.int32)]
+                sizes = np.array([len(used), len(own), len(docs)], np.int64)
+                data = b"".join([sizes.tobytes(), *(np.ascontiguousarray(p).tobytes() for p in pieces)])
+                out["part"].append(part[own[0]])
+                out["data"].append(len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True))
+        return pa.table(out, spec)
+
+    counts = known.filter("n > 0").select("block", "word", "n", F.xxhash64("word").alias("h")).groupBy("block")
+    own = rows.select("block", "text", "held_out", F.xxhash64("doc_id", "text").alias("doc")).groupBy("block")
+    return own.cogroup(counts).applyInArrow(run, "part int, data binary")
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """hashes and n of its words; the tokens and the words before them as places there, -1 for none and -1 - n for words that no state has; docs, their weights and each token's place in docs."""
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    used, tokens, docs = np.frombuffer(raw, np.int64, 3)
+    out, at = [], 24
+    for kind, size in ((np.int64, used), (np.int64, used), (np.int32, (DEPTH + 1) * tokens), (np.int64, docs), (np.int64, docs), (np.int32, tokens)):
+        out.append(np.frombuffer(raw, kind, size, at))
+        at += size * np.dtype(kind).itemsize
+    out[2] = out[2].reshape(DEPTH + 1, -1)
+    return out
+
+
+def token_scores(symbol: np.ndarray, before: list[np.ndarray], weight: np.ndarray, log_root: np.ndarray, width: int) -> np.ndarray:
+    """log10 probability of each token by the tree of the tokens with a weight.
+
+    symbol: -1 - n for words that no state has. before: the last word, the one before it and so on, -1 for none. All tokens after any of the last words must be there:
+    then so are all contexts that end in it, with their suffixes and counts.
+    """
+    best = log_root.copy()
+    at = np.flatnonzero(before[0] >= 0)
+    context = before[0][at].astype(np.int64)
+    for k in range(len(before)):
+        if k:
+            more = before[k][at] >= 0
+            at, context = at[more], context[more] * width + before[k][at[more]]
+        if not len(at):
+            break
+        _, context = np.unique(context, return_inverse=True)
+        of_context = np.bincount(context, weight[at])
+        # A longer context is no more common than its suffix: where this one is no state, none is.
+        often = of_context[context] >= MIN_CONTEXT
+        at, context = at[often], context[often]
+        if not len(at):
+            break
+        low = min(MIN_JOINT, MIN_CONTEXT)
+        _, first, entry = np.unique(context * (width + low) + symbol[at] + low, return_index=True, return_inverse=True)
+        n, place, q = np.bincount(entry, weight[at]), context[first], 10 ** best[at[first]]
+        kept = (n >= MIN_JOINT) & (symbol[at[first]] >= 0)
+        size = len(of_context)
+        stored_n = np.bincount(place[kept], n[kept], size)
+        q_stored = np.bincount(place[kept], q[kept], size)
+        rest = (of_context - stored_n + KAPPA) / (of_context + KAPPA)
+        p = n / (of_context + KAPPA)[place] + rest[place] * q
+        part = np.bincount(place[kept], (p * np.log(p / q))[kept], size) + rest * np.maximum(0, 1 - q_stored) * np.log(rest)
+        state = part >= MIN_DIVERGENCE
+        value = np.where(kept, np.log10(p), np.log10(rest)[place] + np.log10(q))
+        best[at] = np.where(state[context], value[entry], best[at])
+    return best
+
+
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus: int = 5, remainder: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = blocks(docs, id, text, modulus, remainder)
     known = stored(vocabulary(rows), "vocabulary")
-    single = known.filter(F.col("first") & (F.col("n") > 0)).select("word", "n")
-    total, kinds = single.agg(F.sum("n"), F.count("*")).first()
+    total, kinds = known.filter(F.col("first") & (F.col("n") > 0)).agg(F.sum("n"), F.count("*")).first()
     total = total or 0
-    train = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(id).alias("doc_id")).filter(~fold(F.col("doc_id"), modulus, remainder))
-    tree = grow(train, single, total, kinds)
-    spec = docs.sparkSession.sparkContext.broadcast(tree)
     unit = total + 0.5 * (kinds + 1)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, out = spec.value, []
-        # Of each word of the block, and of one it doesn't have: the count and the tree's number.
-        word = right["word"].combine_chunks()
-        n, number = np.r_[right["n"].to_numpy(), 0], np.r_[own.numbers(word), 0]
-        end = pc.index_in(pa.scalar(END), value_set=word).as_py()
-        end = -1 if end is None else end
-        for batch in left.combine_chunks().to_batches(max_chunksize=SLICE):
-            codes, offsets, seen = words(batch["text"], lower=True)
-            at = pc.fill_null(pc.index_in(seen, value_set=word), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            at, place = with_ends(at[codes], offsets, end)
-            count, symbol = n[at], number[at]
-            log_root = np.log10((count + 0.5) / unit)
-            value = score_tokens(own, symbol, place, log_root)
-            bounds = offsets + np.arange(len(offsets))
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": batch["doc_id"],
-                        "held_out": batch["held_out"],
-                        "n_tokens": np.diff(bounds),
-                        "n_known": per_text((count > 0).astype(np.int64), bounds),
-                        "train_tokens": np.full(len(batch), total),
-                        "base_score": per_text(log_root, bounds),
-                        "score": per_text(value, bounds),
-                    }
-                )
-            )
-        return pa.concat_tables(out)
-
-    own = rows.groupBy("block")
-    counts = known.filter("n > 0").select("block", "word", "n").groupBy("block")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return own.cogroup(counts).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def run(table: pa.Table) -> pa.Table:
+        found = [unpacked(d.as_py()) for d in table["data"]]
+        shift, shift_docs = (np.r_[0, np.cumsum([len(f[i]) for f in found])[:-1]] for i in (0, 3))
+        hashes, n = (np.concatenate([f[i] for f in found]) for i in range(2))
+        _, number = np.unique(hashes, return_inverse=True)
+        number = number.astype(np.int32)
+        count = np.zeros(len(hashes), np.int64)
+        count[number] = n
+
+        def numbers(k: int) -> np.ndarray:
+            local = np.concatenate([np.where(f[2][k] < 0, f[2][k], f[2][k] + s) for f, s in zip(found, shift)])
+            return np.where(local < 0, local, np.r_[number, 0][np.maximum(local, 0)])
+
+        symbol, *before = (numbers(k) for k in range(DEPTH + 1))
+        doc = np.concatenate([f[5] + s for f, s in zip(found, shift_docs)])
+        weight = np.concatenate([f[4] for f in found])[doc].astype(float)
+        ids = np.concatenate([f[3] for f in found])
+        own = np.where(symbol < 0, -1 - symbol, np.r_[count, 0][np.maximum(symbol, 0)])
+        log_root = np.log10((own + 0.5) / unit)
+        value = token_scores(symbol, before, weight, log_root, len(hashes))
+        sums = [np.bincount(doc, x, len(ids)) for x in (np.ones(len(doc)), own > 0, log_root, value)]
+        return pa.table({"doc": ids, "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base_score": sums[2], "score": sums[3]})
+
+    n_parts = max(parts(docs.sparkSession), -(-total // PART_TOKENS))
+    sums = payloads(rows, known, n_parts).groupBy("part").applyInArrow(run, "doc long, n_tokens long, n_known long, base_score double, score double")
+    sums = sums.groupBy("doc").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    own = rows.select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("doc"))
+    return own.join(sums, "doc").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -118,3 +118,30 @@ def test_structure_beats_single_words(grown):
     texts, count, tree = grown
     symbol, _, got = tree_scores(tree, count, sentences(40, ["red fish", "the big red fish swims", "one"], 99))
     assert got.sum() > 1.0 * log_root(tree, count)[symbol].sum() and got.mean() > log_root(tree, count)[symbol].mean() + 0.05
+
+
+def test_texts_are_scored_by_the_tree(spark, grown):
+    """Parts together are the tree of the training texts; rows that repeat teach as often as they are there."""
+    words_ = ["red fish", "blue fish", "one", "two", "red hen", "the big red fish swims"]
+    texts = sentences(250, words_, 3)
+    rows = [*enumerate(texts), (0, texts[0]), (0, texts[0])]
+    train = [t for i, t in rows if not held(i)]
+    count = Counter(x if x is not None else "" for t in train for x in tokens(t))
+    known = spark.createDataFrame(list(count.items()), "word string, n long")
+    tree = suffix_tree.grow(spark.createDataFrame([(t,) for t in train], "text string"), known, sum(count.values()), len(count))
+    found = suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    _, place, value = tree_scores(tree, count, texts)
+    expected = np.bincount(place, value)
+    assert [r.score for r in found] == pytest.approx([expected[r.doc_id] for r in found])
+
+
+def test_contexts_are_kept_at_any_size(spark, grown):
+    """What the tree keeps of the same texts doesn't shrink as the corpus around them grows."""
+    texts, count, tree = grown
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame(list(count.items()), "word string, n long")
+    large = suffix_tree.grow(docs, known, 5_000_000_000, len(count))
+    assert large.symbols == tree.symbols
+    assert [len(level.keys) for level in large.levels] == [len(level.keys) for level in tree.levels]
+    assert [level.entries.tolist() for level in large.levels] == [level.entries.tolist() for level in tree.levels]
