@@ -188,6 +188,15 @@ def test_short_words_prove_a_term(spark):
     assert "w:oaf" not in index.vocabulary.to_pylist()
 
 
+def test_common_words_take_no_term_s_place(spark, monkeypatch):
+    monkeypatch.setattr(toxicity_knn, "MAX_TERMS", 1, raising=False)
+    rows = [(i, f"some of these words {chr(97 + i % 26)}o{i} {'dolt' if i < 30 else ''}", 1) for i in range(60)] + [(200 + i, f"some of these words {chr(97 + i % 26)}a{i}", 0) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    index = toxicity_knn.fit(docs, labels, modulus=1000, remainder=999)
+    assert index.vocabulary.to_pylist() == ["w:dolt"]
+
+
 def test_prior_and_risk_on_made_up_texts():
     r = np.random.default_rng(3)
     good = lambda n: np.column_stack([r.normal(2, 1, n), r.normal(0, 1, n)])
