@@ -8,7 +8,7 @@ are then run again from both ends. A text's language is the one with the most
 posterior over words with a letter, and its score is that language's mean.
 
 The model is fitted by gradient on the likelihood of at most ``MAX_TEXTS`` whole texts,
-those with the smallest hash of their id, with every word labelled as its text is.
+languages in turn, each those with the smallest hash of their id, with every word labelled as its text is.
 Texts that are null or have no letter are ``und`` with score 0. If no text is labelled,
 all are. An empty table gives an empty result. Equal posteriors go to the language
 that sorts first.
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, small_batches, words
@@ -255,7 +255,11 @@ def _expected(x: np.ndarray, offsets: np.ndarray, moves: np.ndarray) -> tuple[np
 
 def fit(docs: DataFrame, modulus: int = 4, remainder: int = 2, most: int = MAX_TEXTS) -> Crf | None:
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~fold(F.col("doc_id"), modulus, remainder))
-    some = rows.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # All languages take turns, each with the smallest hashes first, so that rare ones are learned too.
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    turns = rows.select("doc_id", "lang").withColumn("turn", turn).filter(F.col("turn") <= most)
+    kinds = rows.select("lang").distinct().count()
+    some = turns.orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(max(most, kinds)).drop("turn")
     found = rows.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id", "lang").toPandas()
     return train(found["text"].tolist(), found["lang"].tolist()) if len(found) else None
 

@@ -77,6 +77,13 @@ def test_texts_without_a_letter_are_undetermined(edges):
     assert by_id[4] == "en"
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the house and the dog number{i % 7}", "en") for i in range(400)] + [(1000 + i, "das haus und der hund", "de") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = crf_langid.fit(docs, modulus=1000, remainder=999, most=6)
+    assert sorted(model.languages) == ["de", "en"]
+
+
 def test_unlabelled_languages_give_nothing(edges):
     from pyspark.sql import functions as F
 
