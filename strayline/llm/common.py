@@ -31,6 +31,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """As stored, and rows with the same key lie in the same of n buckets: grouped or joined by the key, the table isn't shuffled."""
+    spark, unique = df.sparkSession, uuid.uuid4().hex
+    df.write.format("parquet").bucketBy(n, key).option("path", f"{shared_dir(spark)}/strayline-{unique}/{name}").saveAsTable(f"strayline_{unique}")
+    return spark.table(f"strayline_{unique}")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that go to Python workers, so that long texts don't pile up in one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -4,412 +4,465 @@ Symbols are lower-cased (A-Z) words and one end. The root is the smoothed unigra
 distribution over all training texts, with half a count for every known symbol and
 half for all unknown ones together. A context of one to ``DEPTH`` words is a candidate
 if training has it ``MIN_CONTEXT`` times or more; of its next symbols those that follow
-it ``MIN_JOINT`` times or more are stored. The tree grows with the corpus. A candidate is retained if its distribution
-diverges from that of its longest retained suffix by ``MIN_DIVERGENCE`` nats a token or
-more. What a state doesn't store it leaves to that suffix, so that every state's
-distribution sums to one:
+it ``MIN_JOINT`` times or more are stored. The tree grows with the corpus. A candidate is
+retained if its distribution diverges from that of its longest retained suffix by
+``MIN_DIVERGENCE`` nats a token or more. What a state doesn't store it leaves to that
+suffix, so that every state's distribution sums to one:
 
     P(s | w) = (n(w s) [if stored] + (n(w) - stored + KAPPA) P(s | suffix of w)) / (n(w) + KAPPA)
 
 A token is scored by the longest state that is a suffix of what comes before it.
 
-Vocabulary and tree are as large as the corpus makes them and are never broadcast. Texts
-are dealt into blocks by a hash; each block's distinct words meet their counts in a join
-by word and go back to the block. From there each token goes, with the three words before
-it, to the part of its last word. A context's suffixes end in the same word, so a part
-has all counts of its contexts: it grows their branch of the tree, scores its tokens, and
-hands on sums by text. All tokens after one word are one part's, so the most common word
-sets the size of the largest part.
+Vocabulary and tree are as large as the corpus makes them and are never broadcast. Tasks
+write the texts they read as blocks of word numbers. Each block's distinct words go to
+the owners of their hashes, which send back their counts and their numbers in the whole
+corpus. From a block each token goes, with the three words before it, to the part of its
+last word. A context's suffixes end in the same word, so a part has all counts of its
+contexts: it grows their branch of the tree, scores its tokens, and hands back sums by
+text. Only counts of two or more have numbers: a token after a rarer word is the root's.
+
+A word that ``HOT`` training tokens or more follow has no part of its own. Blocks send only
+how often each symbol follows it, cut into slices by the symbol; the slices' sums give
+its place in the tree; then its tokens, with what it says of them, go on to the parts of
+the last two words, and where those are too many of the last three. So no task holds more than
+a part's tokens and those of contexts below ``HOT``, however common a word is.
 
 Null texts count as empty and hold just the end. Held-out texts teach nothing. Without
-training texts N and V are 0 and every token is unknown. Rows that repeat are all scored.
+training texts N and V are 0 and every token is unknown. Rows that repeat are all scored
+and teach as often as they are there. Sums by text and part travel as 32-bit floats.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, parts, per_text, small_batches, stored, words
+from .common import bucketed, fold, parts, small_batches, stored, words
+from .packing import pack, pack_words, unpack, unpack_words
 
 DEPTH = 3
 MIN_CONTEXT = 2
 MIN_JOINT = 2
 MIN_DIVERGENCE = 0.02
 KAPPA = 1.0
+#: Text of a block, which a task holds at once.
 BLOCK_BYTES = 16 << 20
-SLICE = 1500
 #: Training tokens of a part, if spread evenly.
 PART_TOKENS = 2_000_000
-#: A worker sums up its counts when it holds so many keys.
-HELD = 3_000_000
+#: Training tokens of a context that is cut into slices.
+HOT = 2_000_000
+#: Blocks whose distinct words an owner of hashes gets, if spread evenly.
+OWNED = 4
+#: Words with fewer occurrences can be in no state.
+LOW = min(MIN_JOINT, MIN_CONTEXT)
 #: Stands for the end in tables of words; no word is empty.
 END = ""
 
+CONTEXT = [f"c{i}" for i in range(1, DEPTH + 1)]
+#: Kinds of messages. BASE: a block's texts under the root; SUMS: of some tokens, by text; HOT_TOKENS: a block's tokens after a hot context;
+#: ASK and ANSWER: how often symbols follow it in the block, and in all; TOTAL: what a slice of the symbols says of it; COLD + k: tokens of
+#: which all that follow the same k words are in the same part.
+BASE, SUMS, HOT_TOKENS, ASK, ANSWER, TOTAL, COLD = range(7)
+#: Words of a hot context, the latest first, and -1 for none.
+CONTEXT = [f"c{i}" for i in range(1, DEPTH + 1)]
+NAMES = ["part", "kind", "block", *CONTEXT, "data", "of_context", "stored_n", "stored_q", "deeper"]
+TYPES = [pa.int32(), pa.int32(), *[pa.int64()] * (DEPTH + 1), pa.binary(), *[pa.float64()] * 3, pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))]
+MESSAGE = f"part int, kind int, block long, {', '.join(f'{c} long' for c in CONTEXT)}, data binary, of_context double, stored_n double, stored_q double, deeper array<struct<word:long,n:long>>"
+
+
+def with_ends(values: np.ndarray, offsets: np.ndarray, end) -> np.ndarray:
+    """values with an end after each text."""
+    out = np.full(len(values) + len(offsets) - 1, end, values.dtype)
+    out[np.arange(len(values)) + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))] = values
+    return out
 
-@dataclass
-class Level:
-    """Contexts of one length. keys: those of the contexts, sorted; an entry is a place in keys and a next symbol."""
-
-    keys: np.ndarray
-    entries: np.ndarray
-    log_p: np.ndarray
-    log_rest: np.ndarray
-    state: np.ndarray
-    up: np.ndarray
-
-
-@dataclass
-class Tree:
-    symbols: pa.Array
-    levels: list[Level] = field(default_factory=list)
-
-    @property
-    def width(self) -> int:
-        return len(self.symbols) + 1
-
-    def numbered(self, known: pa.Array, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols with an end after each text, the text of each): 0 for symbols the tree doesn't have, else the place from 1."""
-        found = self.numbers(known)
-        return with_ends(found[codes], offsets, self.numbers(pa.array([END]))[0])
-
-    def numbers(self, known: pa.Array) -> np.ndarray:
-        return pc.fill_null(pc.index_in(known, value_set=self.symbols), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-
-
-def with_ends(values: np.ndarray, offsets: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
-    n, sizes = len(offsets) - 1, np.diff(offsets)
-    out = np.full(len(values) + n, end, values.dtype)
-    text = np.repeat(np.arange(n), sizes)
-    out[np.arange(len(values)) + text] = values
-    return out, np.repeat(np.arange(n), sizes + 1)
-
-
-def places(level: Level, key: np.ndarray) -> np.ndarray:
-    """Of each key the place in the level, or -1."""
-    if not len(level.keys):
-        return np.full(len(key), -1)
-    at = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
-    return np.where(level.keys[at] == key, at, -1)
-
-
-def context_keys(tree: Tree, symbol: np.ndarray, text: np.ndarray) -> Iterator[np.ndarray]:
-    """For each level the place in it of the context before each token, -1 if there is none.
 
-    A context's key is its last word alone, or the place of its front in the level above with its last word.
-    """
-    last = np.r_[0, symbol[:-1]]
-    front = None
-    for k, level in enumerate(tree.levels):
-        if front is None:
-            # Words are few enough to look up by number.
-            of_word = np.full(tree.width, -1)
-            of_word[level.keys] = np.arange(len(level.keys))
-            place = of_word[last]
-            place[np.r_[True, text[1:] != text[:-1]]] = -1
-        else:
-            # What stood before the last word was the context of that word.
-            before = np.r_[-1, front[:-1]]
-            ok = np.flatnonzero((front >= 0) & (before >= 0))
-            ok = ok[text[ok] == text[ok - k - 1]]
-            place = np.full(len(symbol), -1)
-            place[ok] = places(level, before[ok] * tree.width + last[ok])
-        front = place
-        yield front
-
-
-def count_next(docs: DataFrame, tree: Tree) -> DataFrame:
-    """key = place of the context in the last level * width + next symbol, and its times n, over training texts."""
-    spec = docs.sparkSession.sparkContext.broadcast(tree)
+def encoded(docs: DataFrame, id: str, text: str, modulus: int, remainder: int, block_bytes: int) -> DataFrame:
+    """A row for each block: its texts' ids and folds, their sizes and symbols as places among its distinct words, and these in the order of their hashes with their training counts."""
+    rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("held_out", fold(F.col("doc_id"), modulus, remainder))
+    names = ["block", "ids", "held_out", "sizes", "codes", "words", "n"]
+
+    def block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        teach = ~table["held_out"].to_numpy()
+        codes, offsets, known = words(table["text"], lower=True)
+        sizes = np.diff(offsets)
+        n = np.r_[np.bincount(codes[np.repeat(teach, sizes)], minlength=len(known)), teach.sum()]
+        known = np.array([*known.to_pylist(), END], object)
+        order = np.argsort(hashes(known), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        whole = [pa.ListArray.from_arrays([0, len(table)], table[c].combine_chunks()) for c in ("doc_id", "held_out")]
+        data = [pack(sizes + 1), pack(with_ends(place[codes], offsets, place[-1])), pack_words(known[order]), pack(n[order])]
+        return pa.RecordBatch.from_arrays([pa.array([number]), *whole, *[pa.array([x], pa.binary()) for x in data]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = spec.value, []
-
-        def summed() -> pa.RecordBatch:
-            keys, n = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(np.add.reduceat(n, first) if len(first) else n)], ["key", "n"])
-
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            codes, offsets, known = words(batch.column(0), lower=True)
-            symbol, text = own.numbered(known, codes, offsets)
-            place = None
-            for place in context_keys(own, symbol, text):
-                pass
-            ok = (place >= 0) & (symbol > 0)
-            held.append(np.unique(place[ok] * own.width + symbol[ok], return_counts=True))
-            if sum(len(k) for k, _ in held) > HELD:
-                yield summed()
-                held.clear()
+            if len(batch):
+                held.append(batch)
+                size += batch.column(1).nbytes
+            if size >= block_bytes:
+                yield block(number, held)
+                number, held, size = number + 1, [], 0
         if held:
-            yield summed()
+            yield block(number, held)
 
     small_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def grow(docs: DataFrame, known: DataFrame, total: int, kinds: int, depth: int = DEPTH) -> Tree:
-    """The tree as one object, for corpora that fit the driver. docs: training texts; known: word and n, the training counts; total: N; kinds: V."""
-    joint, context = MIN_JOINT, MIN_CONTEXT
-    often = known.filter(F.col("n") >= joint).orderBy("word").toPandas()
-    tree = Tree(pa.array(often["word"], pa.string()))
-    if not len(often):
-        return tree
-    count = np.r_[0, often["n"].to_numpy()].astype(float)
-    is_end = np.r_[False, (often["word"] == END).to_numpy()]
-    root = (count + 0.5) / (total + 0.5 * (kinds + 1))
-    width = tree.width
-    keys = np.flatnonzero((count >= context) & ~is_end)
-    of_context = count[keys]
-    up = np.full(len(keys), -1)  # the place of a context's suffix in the level below it
-    for k in range(depth):
-        if not len(keys):
-            break
-        level = Level(keys, np.zeros(0, np.int64), np.zeros(0), np.zeros(len(keys)), np.zeros(len(keys), bool), up)
-        tree.levels.append(level)
-        found = count_next(docs, tree).filter(F.col("n") >= joint).orderBy("key").toPandas()
-        entries, n = found["key"].to_numpy(np.int64), found["n"].to_numpy(float)
-        place, symbol = entries // width, entries % width
-        # The suffix's probability of each stored symbol, and of all the others.
-        q = root[symbol] if k == 0 else 10 ** look_up(tree, k - 1, up[place], symbol, np.log10(root))
-        stored_n = np.bincount(place, n, len(keys))
-        q_stored = np.bincount(place, q, len(keys))
-        p = (n + (of_context - stored_n + KAPPA)[place] * q) / (of_context + KAPPA)[place]
-        rest = (of_context - stored_n + KAPPA) / (of_context + KAPPA)
-        p_rest = rest * np.maximum(0, 1 - q_stored)
-        part = np.bincount(place, p * np.log(p / q), len(keys))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            part += np.where(p_rest > 0, p_rest * np.log(rest), 0)
-        level.entries, level.log_p, level.log_rest, level.state = entries, np.log10(p), np.log10(rest), part >= MIN_DIVERGENCE
-        more = (n >= context) & ~is_end[symbol]
-        keys, of_context = entries[more], n[more]
-        # (front, word) has the suffix (front's suffix, word); at the first step that is the word.
-        if k == 0:
-            up = places(tree.levels[0], symbol[more])
-        else:
-            up = suffix_places(tree, k, place[more], symbol[more])
-        ok = up >= 0
-        keys, of_context, up = keys[ok], of_context[ok], up[ok]
-    return tree
-
-
-def suffix_places(tree: Tree, k: int, place: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Of the contexts made of place in level k and symbol: the place in level k of their suffixes."""
-    return places(tree.levels[k], tree.levels[k].up[place] * tree.width + symbol)
-
-
-def look_up(tree: Tree, k: int, place: np.ndarray, symbol: np.ndarray, log_root: np.ndarray) -> np.ndarray:
-    """log10 P(symbol | the context at place in level k, or its longest retained suffix)."""
-    out = np.zeros(len(place))
-    at, going = place.copy(), np.arange(len(place))
-    for j in range(k, -1, -1):
-        level = tree.levels[j]
-        if not len(going):
-            return out
-        here = at[going]
-        state = level.state[here]
-        key = here * tree.width + symbol[going]
-        spot = np.minimum(np.searchsorted(level.entries, key), max(0, len(level.entries) - 1))
-        hit = state & (level.entries[spot] == key) if len(level.entries) else np.zeros(len(going), bool)
-        out[going[hit]] += level.log_p[spot[hit]]
-        miss = state & ~hit
-        out[going[miss]] += level.log_rest[here[miss]]
-        at[going] = level.up[here]
-        going = going[~hit]
-    out[going] += log_root[symbol[going]]
-    return out
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"block long, ids array<{kind}>, held_out array<boolean>, sizes binary, codes binary, words binary, n binary")
 
 
-def score_tokens(tree: Tree, symbol: np.ndarray, text: np.ndarray, log_root: np.ndarray) -> np.ndarray:
-    """log10 probability of each token; log_root is that of each under the root."""
-    out, going = np.zeros(len(symbol)), np.ones(len(symbol), bool)
-    for k, place in reversed(list(enumerate(context_keys(tree, symbol, text)))):
-        level = tree.levels[k]
-        at = np.flatnonzero(going & (place >= 0))
-        at = at[level.state[place[at]]]
-        if not len(at):
-            continue
-        key = place[at] * tree.width + symbol[at]
-        if len(level.entries):
-            spot = np.minimum(np.searchsorted(level.entries, key), len(level.entries) - 1)
-            hit = (level.entries[spot] == key) & (symbol[at] > 0)
-            out[at[hit]] += level.log_p[spot[hit]]
-            going[at[hit]] = False
-        else:
-            hit = np.zeros(len(at), bool)
-        out[at[~hit]] += level.log_rest[place[at[~hit]]]
-    out[going] += log_root[going]
-    return out
+def hashes(words: np.ndarray) -> np.ndarray:
+    return pd.util.hash_array(words, categorize=False) if len(words) else np.zeros(0, np.uint64)
 
 
-def blocks(docs: DataFrame, id: str, text: str, modulus: int, remainder: int) -> DataFrame:
-    rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(parts(docs.sparkSession), -(-size // BLOCK_BYTES))
-    return rows.withColumn("held_out", fold(F.col("doc_id"), modulus, remainder)).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-
-
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """block, word, n, first: a row for each block's distinct words (END among them) with the word's training count; first marks one row of each word."""
-
-    def run(table: pa.Table) -> pa.Table:
-        keys, n = [], []
-        for batch in table.combine_chunks().to_batches(max_chunksize=SLICE):
-            codes, offsets, known = words(batch["text"], lower=True)
-            teach = np.repeat(~batch["held_out"].to_numpy(zero_copy_only=False), np.diff(offsets))
-            keys.append(known)
-            n.append(np.bincount(codes[teach], minlength=len(known)))
-        ends = len(table) - pc.sum(table["held_out"].cast(pa.int64())).as_py() if len(table) else 0
-        all_ = pa.chunked_array([*keys, pa.array([END])]).combine_chunks().dictionary_encode()
-        total = np.bincount(all_.indices.to_numpy(), np.r_[np.concatenate(n) if n else [], ends], len(all_.dictionary)).astype(np.int64)
-        block = pa.array(np.full(len(total), table["block"][0].as_py(), np.int32))
-        return pa.table({"block": block, "word": all_.dictionary, "n": total})
-
-    small_batches(rows.sparkSession)
-    each = rows.select("block", "text", "held_out").groupBy("block").applyInArrow(run, "block int, word string, n long")
-    of_word = Window.partitionBy("word")
-    return each.withColumn("first", F.col("block") == F.min("block").over(of_word)).withColumn("n", F.sum("n").over(of_word))
-
-
-def payloads(rows: DataFrame, known: DataFrame, n_parts: int) -> DataFrame:
-    """part, data: the tokens of a block's texts that follow a word of the part, with the three words before each."""
-    spec = pa.schema([("part", pa.int32()), ("data", pa.binary())])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        # Rows that are equal in id and text are scored once and teach as often as they are there.
-        left = left.group_by(["doc", "held_out"]).aggregate([("text", "min"), ("text", "count")])
-        word = right["word"].combine_chunks()
-        hashes, n = np.r_[right["h"].to_numpy(), 0], np.r_[right["n"].to_numpy(), 0]
-        # Words that no state can have are told apart by their counts alone.
-        kind = np.where(n >= min(MIN_JOINT, MIN_CONTEXT), np.arange(len(n)), -1 - n).astype(np.int32)
-        end = pc.index_in(pa.scalar(END), value_set=word).as_py()
-        out: dict[str, list] = {"part": [], "data": []}
-        for batch in left.combine_chunks().to_batches(max_chunksize=SLICE):
-            codes, offsets, seen = words(batch["text_min"], lower=True)
-            at = kind[pc.fill_null(pc.index_in(seen, value_set=word), -1).to_numpy(zero_copy_only=False)]
-            symbol, text = with_ends(at[codes], offsets, kind[-1 if end is None else end])
-            text = text.astype(np.int32)
-            weight = np.where(batch["held_out"].to_numpy(zero_copy_only=False), 0, batch["text_count"].to_numpy())
-            before = [symbol]
-            for k in range(1, DEPTH + 1):
-                back = np.full(len(symbol), -1, np.int32)
-                back[k:] = np.where(text[k:] == text[:-k], np.maximum(symbol[:-k], -1), -1)
-                before.append(back)
-            doc = batch["doc"].to_numpy()
-            # Tokens without a context go anywhere.
-            route = np.where(before[1] >= 0, hashes[before[1]], doc[text])
-            part = (route.view(np.uint64) % np.uint64(n_parts)).astype(np.int32)
-            order = np.lexsort((symbol, before[1], part))
-            cut = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0]) if len(order) else np.zeros(0, np.int64)
-            for a, z in zip(cut, np.r_[cut[1:], len(order)]):
-                own = order[a:z]
-                used, local = np.unique(np.stack([b[own] for b in before]), return_inverse=True)
-                docs, of_doc = np.unique(text[own], return_inverse=True)
-                below, used = used[used < 0], used[used >= 0]
-                local = np.r_[below, np.arange(len(used))][local.reshape(DEPTH + 1, -1)]
-                pieces = [hashes[used], n[used], local.astype(np.int32), doc[docs], weight[docs], of_doc.astype(np.int32)]
-                sizes = np.array([len(used), len(own), len(docs)], np.int64)
-                data = b"".join([sizes.tobytes(), *(np.ascontiguousarray(p).tobytes() for p in pieces)])
-                out["part"].append(part[own[0]])
-                out["data"].append(len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True))
-        return pa.table(out, spec)
-
-    counts = known.filter("n > 0").select("block", "word", "n", F.xxhash64("word").alias("h")).groupBy("block")
-    own = rows.select("block", "text", "held_out", F.xxhash64("doc_id", "text").alias("doc")).groupBy("block")
-    return own.cogroup(counts).applyInArrow(run, "part int, data binary")
-
-
-def unpacked(data: bytes) -> list[np.ndarray]:
-    """hashes and n of its words; the tokens and the words before them as places there, -1 for none and -1 - n for words that no state has; docs, their weights and each token's place in docs."""
-    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-    used, tokens, docs = np.frombuffer(raw, np.int64, 3)
-    out, at = [], 24
-    for kind, size in ((np.int64, used), (np.int64, used), (np.int32, (DEPTH + 1) * tokens), (np.int64, docs), (np.int64, docs), (np.int32, tokens)):
-        out.append(np.frombuffer(raw, kind, size, at))
-        at += size * np.dtype(kind).itemsize
-    out[2] = out[2].reshape(DEPTH + 1, -1)
+def numbered(blocks: DataFrame, owners: int) -> DataFrame:
+    """block, owner and data: the number and training count of the block's words that the owner has, in the block's order; tokens, kinds and most: once for each owner its training tokens, distinct words and largest count.
+
+    Words that no state can have are told apart by their counts alone, as -1 - n. The others' numbers follow their counts, so that common ones are small.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, known, n in zip(*(c.to_pylist() for c in batch.columns)):
+                known, (n,) = unpack_words(known).to_numpy(zero_copy_only=False), unpack(n)
+                # The hashes rise, and so do the owners.
+                owner = (hashes(known) >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)
+                cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                spans = list(zip(cut, np.r_[cut[1:], len(owner)]))
+                columns = [owner[cut].astype(np.int32), [block] * len(cut), [pack_words(known[a:z]) for a, z in spans], [pack(n[a:z]) for a, z in spans]]
+                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["owner", "block", "words", "n"])
+
+    def count(table: pa.Table) -> pa.Table:
+        known = [unpack_words(x.as_py()) for x in table["words"]]
+        n = np.concatenate([unpack(x.as_py())[0] for x in table["n"]])
+        all_ = pa.concat_arrays(known).dictionary_encode()
+        place = all_.indices.to_numpy()
+        total = np.bincount(place, n, len(all_.dictionary)).astype(np.int64)
+        rank = np.empty(len(total), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+        number = np.where(total >= LOW, rank * owners + table["owner"][0].as_py(), -1 - total)
+        cut = np.cumsum([0, *map(len, known)])
+        data = [pack(number[place[a:z]], total[place[a:z]]) for a, z in zip(cut, cut[1:])]
+        once = lambda x: pa.array([int(x)] + [0] * (len(table) - 1), pa.int64())
+        return pa.table([table["block"], table["owner"], pa.array(data, pa.binary()), once(total.sum()), once((total > 0).sum()), once(total.max())], names=["block", "owner", "data", "tokens", "kinds", "most"])
+
+    small_batches(blocks.sparkSession)
+    pieces = blocks.select("block", "words", "n").mapInArrow(split, "owner int, block long, words binary, n binary")
+    return pieces.groupBy("owner").applyInArrow(count, "block long, owner int, data binary, tokens long, kinds long, most long")
+
+
+def mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """A hash of each row of the columns."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for c in columns:
+            out = (out ^ c.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
     return out
 
 
-def token_scores(symbol: np.ndarray, before: list[np.ndarray], weight: np.ndarray, log_root: np.ndarray, width: int) -> np.ndarray:
+@dataclass
+class Tokens:
+    """before: the last word, the one before it and so on, negative for none; symbol: places among names; doc: twice the text's place in its block, and one more where it teaches; extra: for each name its training count or, after a hot context, its log10 probability."""
+
+    before: list[np.ndarray]
+    symbol: np.ndarray
+    doc: np.ndarray
+    names: np.ndarray
+    extra: np.ndarray
+
+    def some(self, at: np.ndarray) -> Tokens:
+        used, symbol = np.unique(self.symbol[at], return_inverse=True)
+        return Tokens([b[at] for b in self.before], symbol, self.doc[at], self.names[used], self.extra[used])
+
+    def packed(self) -> bytes:
+        return pack(*self.before, self.symbol, self.doc, self.names, self.extra)
+
+    @classmethod
+    def of(cls, data: bytes) -> Tokens:
+        *before, symbol, doc, names, extra = unpack(data)
+        return cls(before, symbol, doc, names, extra)
+
+
+def log_base(extra: np.ndarray, unit: float) -> np.ndarray:
+    """log10 probabilities of symbols before a context is looked at."""
+    return extra if extra.dtype.kind == "f" else np.log10((extra + 0.5) / unit)
+
+
+def spans(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of the runs of equal keys."""
+    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return zip(cut.tolist(), np.r_[cut[1:], len(key)].tolist())
+
+
+class Outbox:
+    def __init__(self, n_parts: int, hot: int) -> None:
+        self.n_parts, self.hot, self.rows = n_parts, hot, []
+
+    def send(self, part: int, kind: int, block: int, data: bytes, context: tuple = (), of_context=None, stored_n=None, stored_q=None, deeper=None) -> None:
+        self.rows.append((part, kind, block, *context, *[-1] * (DEPTH - len(context)), data, of_context, stored_n, stored_q, deeper))
+
+    def table(self) -> pa.Table:
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*self.rows)) or [()] * len(NAMES), TYPES)], names=NAMES)
+
+    def sums(self, block: int, doc: np.ndarray, value: np.ndarray) -> None:
+        docs, place = np.unique(doc >> 1, return_inverse=True)
+        self.send(block % self.n_parts, SUMS, block, pack(docs, np.bincount(place, value).astype(np.float32)))
+
+    def tokens(self, block: int, tokens: Tokens, level: int, of_context: np.ndarray) -> None:
+        """Tokens after the same words but the last of level go on. of_context: the training tokens after each one's context if that is hot, else 0."""
+        cold = np.flatnonzero(of_context == 0)
+        latest = [b[cold].astype(np.int64) for b in tokens.before[: max(2, level)]]
+        part = latest[0] % self.n_parts if level == 1 else (mixed(latest[:level]) % np.uint64(self.n_parts)).astype(np.int64)
+        # Tokens that lie with their like take less room.
+        like = part << 40 | (latest[0] & 0xFFFFF) << 20 | (latest[1] & 0xFFFFF)
+        order = np.argsort(like)
+        cold, part = cold[order], part[order]
+        for a, z in spans(part):
+            self.send(int(part[a]), COLD + level, block, tokens.some(cold[a:z]).packed())
+        hot = np.flatnonzero(of_context)
+        hot = hot[np.argsort(tokens.before[level - 1][hot], kind="stable")]
+        for a, z in spans(tokens.before[level - 1][hot]):
+            own, n = tokens.some(hot[a:z]), int(of_context[hot[a]])
+            context = tuple(int(b[0]) for b in own.before[:level])
+            self.send(block % self.n_parts, HOT_TOKENS, block, own.packed(), context)
+            times = np.bincount(own.symbol, own.doc & 1, len(own.names)).astype(np.int64)
+            slice_of = (mixed([own.names]) % np.uint64(n // self.hot + 1)).astype(np.int64)
+            first = int(mixed([np.array([c]) for c in context])[0] % np.uint64(self.n_parts))
+            order = np.argsort(slice_of, kind="stable")
+            for b, y in spans(slice_of[order]):
+                at = order[b:y]
+                self.send((first + int(slice_of[at[0]])) % self.n_parts, ASK, block, pack(at, own.names[at], times[at], own.extra[at]), context)
+
+
+def opened(number: dict, unit: float, n_parts: int, hot: int) -> pa.Table:
+    """The messages of a block: its texts under the root, and its tokens."""
+    out = Outbox(n_parts, hot)
+    block, held, sizes, codes = (number[c] for c in ("block", "held_out", "sizes", "codes"))
+    # Words that no state can have are one symbol for each count.
+    names, first, place = np.unique(number["number"], return_index=True, return_inverse=True)
+    n = number["n"][first]
+    symbol = place.astype(np.int32)[codes]
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    root = log_base(n, unit)[symbol]
+    word = names.astype(np.int32 if len(names) and names[-1] < 1 << 31 else np.int64)[symbol]
+    since = np.arange(len(symbol)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    before: list[np.ndarray] = []
+    for k in range(1, DEPTH + 1):
+        back = np.full(len(symbol), -1, word.dtype)
+        ok = since[k:] >= k
+        if before:
+            ok &= before[-1][k:] >= 0
+        back[k:] = np.where(ok, np.maximum(word[:-k], -1), -1)
+        before.append(back)
+    alone = before[0] < 0
+    sums = [np.bincount(doc, x, len(sizes)) for x in (n[symbol] > 0, root, np.where(alone, root, 0))]
+    out.send(block % n_parts, BASE, block, pack(sizes, sums[0].astype(np.int64), *sums[1:]))
+    of_context = np.zeros(len(symbol), np.int64)
+    of_context[1:] = np.where((n >= hot) & (names >= 0), n, 0)[symbol[:-1]]
+    at = np.flatnonzero(~alone)
+    code = 2 * doc + ~np.repeat(held, sizes)
+    out.tokens(block, Tokens([b[at] for b in before], symbol[at], code[at], names, n), 1, of_context[at])
+    return out.table()
+
+
+def token_scores(symbol: np.ndarray, before: list[np.ndarray], weight: np.ndarray, base: np.ndarray, level: int = 1) -> np.ndarray:
     """log10 probability of each token by the tree of the tokens with a weight.
 
-    symbol: -1 - n for words that no state has. before: the last word, the one before it and so on, -1 for none. All tokens after any of the last words must be there:
-    then so are all contexts that end in it, with their suffixes and counts.
+    symbol: -1 - n for words that no state has. before: the last word, the one before it and so on, negative for none. base: what contexts shorter than level say.
+    All tokens after the last level words of any must be there: then so are all contexts that end in them, with their suffixes and counts.
     """
-    best = log_root.copy()
-    at = np.flatnonzero(before[0] >= 0)
-    context = before[0][at].astype(np.int64)
-    for k in range(len(before)):
-        if k:
+    best = base.copy()
+    at = np.flatnonzero(before[level - 1] >= 0)
+    width = max([0, *(int(x.max()) for x in (symbol, *before) if len(x))]) + LOW + 1
+    if width * len(symbol) >= 1 << 62:
+        used, place = np.unique(np.concatenate([symbol, *before]), return_inverse=True)
+        place = np.where(used < 0, used, np.cumsum(used >= 0) - 1)[place]
+        symbol, *before = place.reshape(DEPTH + 1, -1)
+        width = len(used) + LOW
+    context = np.zeros(len(at), np.int64)
+    for k in range(level):
+        context = context * width + before[k][at]
+        if k + 1 < level:
+            context = np.unique(context, return_inverse=True)[1]
+    for k in range(level - 1, DEPTH):
+        if k >= level:
             more = before[k][at] >= 0
             at, context = at[more], context[more] * width + before[k][at[more]]
         if not len(at):
             break
-        _, context = np.unique(context, return_inverse=True)
+        context = np.unique(context, return_inverse=True)[1]
         of_context = np.bincount(context, weight[at])
-        # A longer context is no more common than its suffix: where this one is no state, none is.
+        # A longer context is no more common than its suffix: where this one is no candidate, none is.
         often = of_context[context] >= MIN_CONTEXT
         at, context = at[often], context[often]
         if not len(at):
             break
-        low = min(MIN_JOINT, MIN_CONTEXT)
-        _, first, entry = np.unique(context * (width + low) + symbol[at] + low, return_index=True, return_inverse=True)
+        _, first, entry = np.unique(context * width + (symbol[at] + LOW), return_index=True, return_inverse=True)
         n, place, q = np.bincount(entry, weight[at]), context[first], 10 ** best[at[first]]
         kept = (n >= MIN_JOINT) & (symbol[at[first]] >= 0)
         size = len(of_context)
         stored_n = np.bincount(place[kept], n[kept], size)
-        q_stored = np.bincount(place[kept], q[kept], size)
+        stored_q = np.bincount(place[kept], q[kept], size)
         rest = (of_context - stored_n + KAPPA) / (of_context + KAPPA)
         p = n / (of_context + KAPPA)[place] + rest[place] * q
-        part = np.bincount(place[kept], (p * np.log(p / q))[kept], size) + rest * np.maximum(0, 1 - q_stored) * np.log(rest)
-        state = part >= MIN_DIVERGENCE
-        value = np.where(kept, np.log10(p), np.log10(rest)[place] + np.log10(q))
+        gain = np.bincount(place[kept], (p * np.log(p / q))[kept], size) + rest * np.maximum(0, 1 - stored_q) * np.log(rest)
+        value = np.where(kept, np.log10(p), np.log10(rest[place]) + np.log10(q))
+        state = gain >= MIN_DIVERGENCE
         best[at] = np.where(state[context], value[entry], best[at])
     return best
 
 
-def score(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus: int = 5, remainder: int = 1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    rows = blocks(docs, id, text, modulus, remainder)
-    known = stored(vocabulary(rows), "vocabulary")
-    total, kinds = known.filter(F.col("first") & (F.col("n") > 0)).agg(F.sum("n"), F.count("*")).first()
-    total = total or 0
-    unit = total + 0.5 * (kinds + 1)
-
-    def run(table: pa.Table) -> pa.Table:
-        found = [unpacked(d.as_py()) for d in table["data"]]
-        shift, shift_docs = (np.r_[0, np.cumsum([len(f[i]) for f in found])[:-1]] for i in (0, 3))
-        hashes, n = (np.concatenate([f[i] for f in found]) for i in range(2))
-        _, number = np.unique(hashes, return_inverse=True)
-        number = number.astype(np.int32)
-        count = np.zeros(len(hashes), np.int64)
-        count[number] = n
-
-        def numbers(k: int) -> np.ndarray:
-            local = np.concatenate([np.where(f[2][k] < 0, f[2][k], f[2][k] + s) for f, s in zip(found, shift)])
-            return np.where(local < 0, local, np.r_[number, 0][np.maximum(local, 0)])
-
-        symbol, *before = (numbers(k) for k in range(DEPTH + 1))
-        doc = np.concatenate([f[5] + s for f, s in zip(found, shift_docs)])
-        weight = np.concatenate([f[4] for f in found])[doc].astype(float)
-        ids = np.concatenate([f[3] for f in found])
-        own = np.where(symbol < 0, -1 - symbol, np.r_[count, 0][np.maximum(symbol, 0)])
-        log_root = np.log10((own + 0.5) / unit)
-        value = token_scores(symbol, before, weight, log_root, len(hashes))
-        sums = [np.bincount(doc, x, len(ids)) for x in (np.ones(len(doc)), own > 0, log_root, value)]
-        return pa.table({"doc": ids, "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base_score": sums[2], "score": sums[3]})
-
-    n_parts = max(parts(docs.sparkSession), -(-total // PART_TOKENS))
-    sums = payloads(rows, known, n_parts).groupBy("part").applyInArrow(run, "doc long, n_tokens long, n_known long, base_score double, score double")
-    sums = sums.groupBy("doc").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    own = rows.select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("doc"))
-    return own.join(sums, "doc").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+def worked(table: pa.Table, unit: float, n_parts: int, hot: int) -> pa.Table:
+    """A part's answers: sums for the tokens that are all here, and what it knows of the symbols after hot contexts."""
+    out, kinds = Outbox(n_parts, hot), table["kind"].to_numpy()
+    for level in range(1, DEPTH + 1):
+        rows = table.filter(pa.array(kinds == COLD + level))
+        if not len(rows):
+            continue
+        own = [Tokens.of(x.as_py()) for x in rows["data"]]
+        before = [np.concatenate([t.before[k] for t in own]) for k in range(DEPTH)]
+        symbol = np.concatenate([t.names[t.symbol] for t in own])
+        base = np.concatenate([log_base(t.extra, unit)[t.symbol] for t in own])
+        value = token_scores(symbol, before, np.concatenate([t.doc & 1 for t in own]).astype(float), base, level)
+        cut = np.cumsum([0, *(len(t.symbol) for t in own)])
+        for block, t, a, z in zip(rows["block"].to_pylist(), own, cut, cut[1:]):
+            out.sums(block, t.doc, value[a:z])
+    asked: dict[tuple, list] = defaultdict(list)
+    rows = table.filter(pa.array(kinds == ASK))
+    for block, data, *context in zip(*(rows[c].to_pylist() for c in ("block", "data", *CONTEXT))):
+        asked[tuple(context)].append((block, *unpack(data)))
+    part = table["part"][0].as_py()
+    for context, found in asked.items():
+        names, first, place = np.unique(np.concatenate([f[2] for f in found]), return_index=True, return_inverse=True)
+        joint = np.bincount(place, np.concatenate([f[3] for f in found]), len(names)).astype(np.int64)
+        q = 10 ** log_base(np.concatenate([f[4] for f in found])[first], unit)
+        kept = (joint >= MIN_JOINT) & (names >= 0)
+        deeper = [{"word": int(names[i]), "n": int(joint[i])} for i in np.flatnonzero((joint >= hot) & (names >= 0))]
+        out.send(part, TOTAL, -1, pack(joint[kept], q[kept]), context, float(joint.sum()), float(joint[kept].sum()), float(q[kept].sum()), deeper)
+        cut = np.cumsum([0, *(len(f[1]) for f in found)])
+        for (block, at, *_), a, z in zip(found, cut, cut[1:]):
+            out.send(part, ANSWER, block, pack(at, joint[place[a:z]]), context)
+    return pa.concat_tables([table.filter(pa.array(np.isin(kinds, [BASE, SUMS, HOT_TOKENS]))).cast(out.table().schema), out.table()])
+
+
+def hot_contexts(totals: DataFrame, level: int) -> DataFrame:
+    """Of each hot context of level words: of_context, stored_n (the share that it leaves to its suffix), stored_q (1 if it is a state), deeper (hot contexts that end in it, as the word before it and their counts)."""
+    sums = totals.groupBy(*CONTEXT).agg(*(F.sum(c).alias(c) for c in ("of_context", "stored_n", "stored_q")))
+    rest = (F.col("of_context") - F.col("stored_n") + KAPPA) / (F.col("of_context") + KAPPA)
+    sums = sums.select(*CONTEXT, "of_context", rest.alias("rest"), "stored_q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gain = []
+            for data, of_context, rest in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                n, q = unpack(data)
+                p = n / (of_context + KAPPA) + rest * q
+                gain.append(float((p * np.log(p / q)).sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(gain, pa.float64())], [*CONTEXT, "gain"])
+
+    gains = totals.select("data", *CONTEXT).join(sums, CONTEXT).select("data", "of_context", "rest", *CONTEXT)
+    gains = gains.mapInArrow(run, f"{', '.join(f'{c} long' for c in CONTEXT)}, gain double").groupBy(*CONTEXT).agg(F.sum("gain").alias("gain"))
+    gain = F.col("gain") + F.col("rest") * F.greatest(F.lit(0.0), 1 - F.col("stored_q")) * F.log("rest")
+    found = sums.join(gains, CONTEXT).select(*CONTEXT, "of_context", F.col("rest").alias("stored_n"), (gain >= MIN_DIVERGENCE).cast("double").alias("stored_q"))
+    # A symbol that often follows this context makes a hot one with it, whose last words are the symbol and all of this one's but the first.
+    words = [F.col("d.word"), *(F.col(c) for c in CONTEXT[: level - 1])]
+    longer = totals.select(F.explode("deeper").alias("d"), *CONTEXT).select(
+        *[w.alias(c) for w, c in zip(words, CONTEXT)], *[F.lit(-1).cast("long").alias(c) for c in CONTEXT[level:]], F.struct(F.col(CONTEXT[level - 1]).alias("word"), F.col("d.n").alias("n")).alias("d")
+    )
+    return found.join(longer.groupBy(*CONTEXT).agg(F.collect_list("d").alias("deeper")), CONTEXT, "left")
+
+
+def advanced(table: pa.Table, unit: float, n_parts: int, hot: int) -> pa.Table:
+    """A block's tokens after one hot context: sums of those that are done, and the others with what the context says of them."""
+    out, kinds = Outbox(n_parts, hot), table["kind"].to_numpy()
+    row = table.filter(pa.array(kinds == HOT_TOKENS)).to_pylist()[0]
+    tokens, block = Tokens.of(row["data"]), row["block"]
+    level = sum(row[c] >= 0 for c in CONTEXT)
+    joint = np.zeros(len(tokens.names), np.int64)
+    for data in table.filter(pa.array(kinds == ANSWER))["data"]:
+        at, n = unpack(data.as_py())
+        joint[at] = n
+    value = log_base(tokens.extra, unit)
+    if row["stored_q"]:
+        kept, rest = (joint >= MIN_JOINT) & (tokens.names >= 0), row["stored_n"]
+        value = np.where(kept, np.log10(joint / (row["of_context"] + KAPPA) + rest * 10**value), np.log10(rest) + value)
+    further = tokens.before[level] if level < DEPTH else np.full(len(tokens.symbol), -1)
+    done = further < 0
+    if done.any():
+        out.sums(block, tokens.doc[done], value[tokens.symbol[done]])
+    if not done.all():
+        going = Tokens(tokens.before, tokens.symbol, tokens.doc, tokens.names, value).some(np.flatnonzero(~done))
+        more = sorted((d["word"], d["n"]) for d in row["deeper"] or [])
+        word, n = np.array([w for w, _ in more], np.int64), np.array([0, *(n for _, n in more)])
+        place = pc.index_in(pa.array(further[~done].astype(np.int64)), value_set=pa.array(word))
+        out.tokens(block, going, level + 1, n[pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1])
+    return out.table()
+
+
+def score(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus: int = 5, remainder: int = 1, block_bytes: int = BLOCK_BYTES, part_tokens: int = PART_TOKENS, hot: int = HOT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. block_bytes, part_tokens and hot bound what a task holds and change no result."""
+    spark = docs.sparkSession
+    blocks = bucketed(encoded(docs, id, text, modulus, remainder, block_bytes), "block", parts(spark), "blocks")
+    numbers = stored(numbered(blocks, max(parts(spark), blocks.count() // OWNED)), "numbers")
+    total, kinds, most = (x or 0 for x in numbers.agg(F.sum("tokens"), F.sum("kinds"), F.max("most")).first())
+    unit, n_parts, hot = total + 0.5 * (kinds + 1), max(parts(spark), -(-total // part_tokens)), max(hot, LOW)
+
+    def first(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, right = left.to_pylist()[0], right.sort_by("owner")
+        number, n = (np.concatenate(x) for x in zip(*(unpack(d.as_py()) for d in right["data"])))
+        read = {c: unpack(own[c])[0] for c in ("sizes", "codes")}
+        return opened({"block": own["block"], "held_out": np.array(own["held_out"]), "number": number, "n": n, **read}, unit, n_parts, hot)
+
+    def work(messages: DataFrame) -> DataFrame:
+        return messages.groupBy("part").applyInArrow(lambda t: worked(t, unit, n_parts, hot), MESSAGE)
+
+    sent = blocks.select("block", "held_out", "sizes", "codes").groupBy("block").cogroup(numbers.select("block", "owner", "data").groupBy("block")).applyInArrow(first, MESSAGE)
+    now = work(sent)
+    results = [now]
+    if most >= hot:
+        now = stored(now, "messages")
+        results = [now]
+        for level in range(1, DEPTH + 1):
+            totals = now.filter(F.col("kind") == TOTAL)
+            if totals.isEmpty():
+                break
+            facts = stored(hot_contexts(totals, level), f"hot-contexts-{level}")
+            tokens = now.filter(F.col("kind") == HOT_TOKENS).drop("of_context", "stored_n", "stored_q", "deeper").join(facts, CONTEXT).select(*NAMES)
+            on = tokens.union(now.filter(F.col("kind") == ANSWER).select(*NAMES)).groupBy("block", *CONTEXT)
+            on = on.applyInArrow(lambda t: advanced(t, unit, n_parts, hot), MESSAGE)
+            now = stored(work(on), f"messages-{level}")
+            results.append(now)
+
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def last(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, held = (left[c].combine_chunks().flatten() for c in ("ids", "held_out"))
+        sums = np.zeros(len(ids))
+        for kind, data in zip(right["kind"].to_pylist(), right["data"].to_pylist()):
+            if kind == BASE:
+                sizes, known, base, alone = unpack(data)
+                sums += alone
+            else:
+                at, value = unpack(data)
+                sums[at] += value
+        return pa.table([ids, held, *[pa.array(x) for x in (sizes.astype(np.int64), known.astype(np.int64), base, sums)]], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    found = reduce(DataFrame.union, (r.filter(F.col("kind").isin(BASE, SUMS)).select("block", "kind", "data") for r in results))
+    scored = blocks.select("block", "ids", "held_out").groupBy("block").cogroup(found.groupBy("block"))
+    scored = scored.applyInArrow(last, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -4,11 +4,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from strayline.llm import suffix_tree
-from strayline.llm.common import words
+from strayline.llm.packing import pack, pack_words, unpack, unpack_words
 
 from .conftest import edge_rows, sentences
 
@@ -50,98 +49,103 @@ def test_edges(edges, nothing):
     assert suffix_tree.score(nothing).count() == 0
 
 
+class BruteTree:
+    """The tree of training texts, one context at a time."""
+
+    def __init__(self, texts):
+        self.count, self.follow = Counter(), {}
+        for t in texts:
+            ts = tokens(t)
+            self.count.update(ts)
+            for i, x in enumerate(ts):
+                for k in range(1, min(i, suffix_tree.DEPTH) + 1):
+                    self.follow.setdefault(tuple(ts[i - k : i]), Counter())[x] += 1
+        self.unit = sum(self.count.values()) + 0.5 * (len(self.count) + 1)
+        self.state = {}
+        for c in sorted((c for c, f in self.follow.items() if sum(f.values()) >= suffix_tree.MIN_CONTEXT), key=len):
+            total, stored, rest = self.parts(c)
+            q = {s: self.p(s, c[1:]) for s in stored}
+            p = {s: n / (total + suffix_tree.KAPPA) + rest * q[s] for s, n in stored.items()}
+            gain = sum(p[s] * math.log(p[s] / q[s]) for s in stored) + rest * max(0, 1 - sum(q.values())) * math.log(rest)
+            self.state[c] = gain >= suffix_tree.MIN_DIVERGENCE
+
+    def parts(self, c):
+        follow = self.follow[c]
+        total = sum(follow.values())
+        stored = {s: n for s, n in follow.items() if n >= suffix_tree.MIN_JOINT}
+        return total, stored, (total - sum(stored.values()) + suffix_tree.KAPPA) / (total + suffix_tree.KAPPA)
+
+    def p(self, s, c):
+        """Of a symbol after a context, by its longest retained suffix."""
+        while c and not self.state.get(c):
+            c = c[1:]
+        if not c:
+            return (self.count[s] + 0.5) / self.unit
+        total, stored, rest = self.parts(c)
+        return stored.get(s, 0) / (total + suffix_tree.KAPPA) + rest * self.p(s, c[1:])
+
+    def score(self, t):
+        ts = tokens(t)
+        return sum(math.log10(self.p(x, tuple(ts[max(0, i - suffix_tree.DEPTH) : i]))) for i, x in enumerate(ts))
+
+
+PIECES = ["red fish", "blue fish", "one", "two", "red hen", "the big red fish swims"]
+
+
 @pytest.fixture(scope="module")
-def grown(spark):
-    texts = sentences(250, ["red fish", "blue fish", "one", "two", "red hen", "the big red fish swims"], 3)
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    count = Counter(x if x is not None else "" for t in texts for x in tokens(t))
-    known = spark.createDataFrame(list(count.items()), "word string, n long")
-    tree = suffix_tree.grow(docs, known, sum(count.values()), len(count))
-    return texts, count, tree
+def corpus():
+    texts = sentences(250, PIECES, 3)
+    return [*enumerate(texts), (0, texts[0]), (0, texts[0]), (900, None), (901, "Zebra zebra RED"), (902, "zebra yak"), (903, "gnu red hen")]
 
 
-def log_root(tree, count):
-    n, v = sum(count.values()), len(count)
-    unknown = math.log10(0.5 / (n + 0.5 * (v + 1)))
-    return np.array([unknown, *[math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tree.symbols.to_pylist()]])
-
-
-def tree_scores(tree, count, texts):
-    codes, offsets, known = words(pa.array(texts, pa.string()), lower=True)
-    symbol, place = tree.numbered(known, codes, offsets)
-    return symbol, place, suffix_tree.score_tokens(tree, symbol, place, log_root(tree, count)[symbol])
-
-
-def test_states_sum_to_one(grown):
-    texts, count, tree = grown
-    assert any(level.state.any() for level in tree.levels[:1]) and len(tree.levels) >= 2
-    root = log_root(tree, count)
-    symbols = np.arange(len(root))
-    for k, level in enumerate(tree.levels):
-        for at in range(len(level.keys)):
-            p = 10 ** suffix_tree.look_up(tree, k, np.full(len(symbols), at), symbols, root)
-            # What the tree doesn't name: all words below the share, and the unknown.
-            named = 10 ** root[1:]
-            rest = 1 - named.sum()
-            scale = p[0] / 10 ** root[0]
-            assert p[1:].sum() + rest * scale == pytest.approx(1, abs=1e-9)
-
-
-def test_tokens_are_scored_by_the_longest_state(grown):
-    texts, count, tree = grown
-    symbol, place, got = tree_scores(tree, count, [*texts[:20], "red fish red fish zebra red", ""])
-    root = log_root(tree, count)
-    for i, s in enumerate(symbol):
-        best = None
-        for k, front in enumerate(suffix_tree.context_keys(tree, symbol, place)):
-            if front[i] >= 0 and tree.levels[k].state[front[i]]:
-                best = (k, front[i])
-        expected = root[s] if best is None else suffix_tree.look_up(tree, best[0], np.array([best[1]]), np.array([s]), root)[0]
-        assert got[i] == pytest.approx(expected)
-
-
-def test_counts_of_contexts_are_exact(grown):
-    texts, count, tree = grown
-    names = ["", *tree.symbols.to_pylist()]
-    pairs = Counter((a, b or "") for t in texts for a, b in zip(tokens(t), tokens(t)[1:]))
-    level = tree.levels[0]
-    for e, lp in zip(level.entries, level.log_p):
-        a, b = names[level.keys[e // tree.width]], names[e % tree.width]
-        n = pairs[a, b]
-        assert n >= 2
-        stored = sum(pairs[a, names[x % tree.width]] for x in level.entries if x // tree.width == e // tree.width)
-        q = 10 ** log_root(tree, count)[e % tree.width]
-        assert 10**lp == pytest.approx((n + (count[a] - stored + suffix_tree.KAPPA) * q) / (count[a] + suffix_tree.KAPPA))
-
-
-def test_structure_beats_single_words(grown):
-    texts, count, tree = grown
-    symbol, _, got = tree_scores(tree, count, sentences(40, ["red fish", "the big red fish swims", "one"], 99))
-    assert got.sum() > 1.0 * log_root(tree, count)[symbol].sum() and got.mean() > log_root(tree, count)[symbol].mean() + 0.05
-
-
-def test_texts_are_scored_by_the_tree(spark, grown):
-    """Parts together are the tree of the training texts; rows that repeat teach as often as they are there."""
-    words_ = ["red fish", "blue fish", "one", "two", "red hen", "the big red fish swims"]
-    texts = sentences(250, words_, 3)
-    rows = [*enumerate(texts), (0, texts[0]), (0, texts[0])]
-    train = [t for i, t in rows if not held(i)]
-    count = Counter(x if x is not None else "" for t in train for x in tokens(t))
-    known = spark.createDataFrame(list(count.items()), "word string, n long")
-    tree = suffix_tree.grow(spark.createDataFrame([(t,) for t in train], "text string"), known, sum(count.values()), len(count))
-    found = suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(found) == len(rows)
-    _, place, value = tree_scores(tree, count, texts)
-    expected = np.bincount(place, value)
-    assert [r.score for r in found] == pytest.approx([expected[r.doc_id] for r in found])
-
-
-def test_contexts_are_kept_at_any_size(spark, grown):
-    """What the tree keeps of the same texts doesn't shrink as the corpus around them grows."""
-    texts, count, tree = grown
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    known = spark.createDataFrame(list(count.items()), "word string, n long")
-    large = suffix_tree.grow(docs, known, 5_000_000_000, len(count))
-    assert large.symbols == tree.symbols
-    assert [len(level.keys) for level in large.levels] == [len(level.keys) for level in tree.levels]
-    assert [level.entries.tolist() for level in large.levels] == [level.entries.tolist() for level in tree.levels]
+@pytest.fixture(scope="module")
+def brute(corpus):
+    return BruteTree([t for i, t in corpus if not held(i)])
+
+
+# A block for all texts or for a few; no hot context, some, or all of them.
+@pytest.mark.parametrize("bounds", [{}, {"block_bytes": 600, "part_tokens": 200}, {"block_bytes": 600, "part_tokens": 200, "hot": 100}, {"block_bytes": 3000, "part_tokens": 50, "hot": 3}, {"hot": 1}])
+def test_texts_are_scored_by_the_tree(spark, corpus, brute, bounds):
+    """Whatever a task holds, parts together are the tree of the training texts; rows that repeat teach as often as they are there."""
+    found = suffix_tree.score(spark.createDataFrame(corpus, "doc_id long, text string"), **bounds).collect()
+    text = dict(corpus)
+    assert sorted(r.doc_id for r in found) == sorted(i for i, _ in corpus)
+    assert [r.score for r in found] == pytest.approx([brute.score(text[r.doc_id]) for r in found], rel=1e-6)
+    check_base(found, corpus)
+
+
+def test_hot_contexts_are_of_all_lengths(brute):
+    for k in range(1, suffix_tree.DEPTH + 1):
+        sizes = [sum(f.values()) for c, f in brute.follow.items() if len(c) == k]
+        assert max(sizes) >= 100 and any(s == k for s in map(len, (c for c, on in brute.state.items() if on)))
+
+
+def test_states_sum_to_one(brute):
+    known = list(brute.count)
+    for c, on in brute.state.items():
+        if on:
+            assert sum(brute.p(s, c) for s in known) + brute.p("?", c) == pytest.approx(1, abs=1e-9)
+
+
+def test_structure_beats_single_words(brute):
+    texts = sentences(40, ["red fish", "the big red fish swims", "one"], 99)
+    plain = sum(math.log10((brute.count[x] + 0.5) / brute.unit) for t in texts for x in tokens(t))
+    assert sum(map(brute.score, texts)) > plain + 0.05 * sum(len(tokens(t)) for t in texts)
+
+
+def test_what_is_kept_does_not_shrink(spark, corpus):
+    """Texts score alike per context, whatever else the corpus holds: what occurs twice is kept."""
+    pair = [(2000, "quick wombat digs here"), (2002, "quick wombat digs here")]
+    other = [(3000 + i, t) for i, t in enumerate(sentences(2000, ["sun", "moon", "tide", "sand"], 8))]
+    assert not any(held(i) for i, _ in pair)
+    for rows in (corpus + pair, corpus + pair + other):
+        found = {r.doc_id: r for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found[2000].score > 0.5 * found[2000].base_score
+
+
+def test_arrays_come_back():
+    arrays = [np.array([], np.int64), np.array([5, 5, 5]), np.array([-3, 0, 2**40]), np.array([1.5, -2.25]), np.arange(300, dtype=np.int32), np.array([0.1], np.float32)]
+    for a, b in zip(arrays, unpack(pack(*arrays))):
+        assert a.tolist() == b.tolist()
+    names = np.array(["b", "", "\x00é", "c"], object)
+    assert unpack_words(pack_words(names)).to_pylist() == names.tolist()
