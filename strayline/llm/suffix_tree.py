@@ -58,9 +58,11 @@ KAPPA = 1.0
 #: Text of a block, which a task holds at once.
 BLOCK_BYTES = 16 << 20
 #: Training tokens of a part, if spread evenly.
-PART_TOKENS = 2_000_000
+PART_TOKENS = 1_500_000
 #: Training tokens of a context that is cut into slices.
-HOT = 2_000_000
+HOT = 1_500_000
+#: Tokens of a part that are scored together, if spread evenly.
+TOGETHER = 400_000
 #: Blocks whose distinct words an owner of hashes gets, if spread evenly.
 OWNED = 4
 #: Words with fewer occurrences can be in no state.
@@ -334,14 +336,25 @@ def worked(table: pa.Table, unit: float, n_parts: int, hot: int) -> pa.Table:
         rows = table.filter(pa.array(kinds == COLD + level))
         if not len(rows):
             continue
-        own = [Tokens.of(x.as_py()) for x in rows["data"]]
-        before = [np.concatenate([t.before[k] for t in own]) for k in range(DEPTH)]
-        symbol = np.concatenate([t.names[t.symbol] for t in own])
-        base = np.concatenate([log_base(t.extra, unit)[t.symbol] for t in own])
-        value = token_scores(symbol, before, np.concatenate([t.doc & 1 for t in own]).astype(float), base, level)
-        cut = np.cumsum([0, *(len(t.symbol) for t in own)])
-        for block, t, a, z in zip(rows["block"].to_pylist(), own, cut, cut[1:]):
-            out.sums(block, t.doc, value[a:z])
+        before: list[list] = [[] for _ in range(DEPTH)]
+        symbol, base, doc = [], [], []
+        for data in rows["data"]:
+            own = Tokens.of(data.as_py())
+            for k, b in enumerate(own.before):
+                before[k].append(b)
+            symbol.append(own.names[own.symbol])
+            base.append(log_base(own.extra, unit)[own.symbol])
+            doc.append(own.doc)
+        before, symbol, value = [np.concatenate(b) for b in before], np.concatenate(symbol), np.concatenate(base)
+        base, teach = None, np.concatenate(doc) & 1
+        group = (mixed(before[:level]) % np.uint64(len(symbol) // TOGETHER + 1)).astype(np.int32)
+        order = np.argsort(group, kind="stable")
+        for a, z in spans(group[order]):
+            at = order[a:z]
+            value[at] = token_scores(symbol[at], [b[at] for b in before], teach[at].astype(float), value[at], level)
+        cut = np.cumsum([0, *map(len, doc)])
+        for block, own, a, z in zip(rows["block"].to_pylist(), doc, cut, cut[1:]):
+            out.sums(block, own, value[a:z])
     asked: dict[tuple, list] = defaultdict(list)
     rows = table.filter(pa.array(kinds == ASK))
     for block, data, *context in zip(*(rows[c].to_pylist() for c in ("block", "data", *CONTEXT))):
