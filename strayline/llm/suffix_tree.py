@@ -56,7 +56,7 @@ MIN_JOINT = 2
 MIN_DIVERGENCE = 0.02
 KAPPA = 1.0
 #: Text of a block, which a task holds at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 #: Training tokens of a part, if spread evenly.
 PART_TOKENS = 1_500_000
 #: Training tokens of a context that is cut into slices.
@@ -227,13 +227,17 @@ class Outbox:
 
     def tokens(self, block: int, tokens: Tokens, level: int, of_context: np.ndarray) -> None:
         """Tokens after the same words but the last of level go on. of_context: the training tokens after each one's context if that is hot, else 0."""
-        cold = np.flatnonzero(of_context == 0)
-        latest = [b[cold].astype(np.int64) for b in tokens.before[: max(2, level)]]
-        part = latest[0] % self.n_parts if level == 1 else (mixed(latest[:level]) % np.uint64(self.n_parts)).astype(np.int64)
+        cold = np.flatnonzero(of_context == 0).astype(np.int32)
+        latest = [b[cold] for b in tokens.before[: max(2, level)]]
+        part = (latest[0] % self.n_parts if level == 1 else mixed(latest[:level]) % np.uint64(self.n_parts)).astype(np.int32)
         # Tokens that lie with their like take less room.
-        like = part << 40 | (latest[0] & 0xFFFFF) << 20 | (latest[1] & 0xFFFFF)
-        order = np.argsort(like)
-        cold, part = cold[order], part[order]
+        like = part.astype(np.int64) << 20
+        like += latest[0] & 0xFFFFF
+        like <<= 20
+        like += latest[1] & 0xFFFFF
+        latest.clear()
+        order = np.argsort(like).astype(np.int32)
+        cold, part, like = cold[order], part[order], None
         for a, z in spans(part):
             self.send(int(part[a]), COLD + level, block, tokens.some(cold[a:z]).packed())
         hot = np.flatnonzero(of_context)
@@ -259,26 +263,26 @@ def opened(number: dict, unit: float, n_parts: int, hot: int) -> pa.Table:
     names, first, place = np.unique(number["number"], return_index=True, return_inverse=True)
     n = number["n"][first]
     symbol = place.astype(np.int32)[codes]
+    del codes, place
     doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    root = log_base(n, unit)[symbol]
     word = names.astype(np.int32 if len(names) and names[-1] < 1 << 31 else np.int64)[symbol]
-    since = np.arange(len(symbol)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    since = np.arange(len(symbol), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
     before: list[np.ndarray] = []
     for k in range(1, DEPTH + 1):
         back = np.full(len(symbol), -1, word.dtype)
         ok = since[k:] >= k
         if before:
             ok &= before[-1][k:] >= 0
-        back[k:] = np.where(ok, np.maximum(word[:-k], -1), -1)
+        back[k:] = np.where(ok, np.maximum(word[:-k], -1), word.dtype.type(-1))
         before.append(back)
-    alone = before[0] < 0
-    sums = [np.bincount(doc, x, len(sizes)) for x in (n[symbol] > 0, root, np.where(alone, root, 0))]
+    del since, word
+    alone, root = before[0] < 0, log_base(n, unit)
+    sums = [np.bincount(doc, x, len(sizes)) for x in ((n > 0)[symbol], root[symbol])] + [np.bincount(doc[alone], root[symbol[alone]], len(sizes))]
     out.send(block % n_parts, BASE, block, pack(sizes, sums[0].astype(np.int64), *sums[1:]))
-    of_context = np.zeros(len(symbol), np.int64)
-    of_context[1:] = np.where((n >= hot) & (names >= 0), n, 0)[symbol[:-1]]
     at = np.flatnonzero(~alone)
+    of_context = np.where((n >= hot) & (names >= 0), n, 0)[symbol[at - 1]]
     code = 2 * doc + ~np.repeat(held, sizes)
-    out.tokens(block, Tokens([b[at] for b in before], symbol[at], code[at], names, n), 1, of_context[at])
+    out.tokens(block, Tokens([b[at] for b in before], symbol[at], code[at], names, n), 1, of_context)
     return out.table()
 
 
