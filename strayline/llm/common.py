@@ -5,6 +5,8 @@ Words are maximal runs of characters outside ``[\\x20\\x09-\\x0D]``.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 
 import numpy as np
@@ -38,6 +40,13 @@ def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     return spark.table(f"strayline_{unique}")
 
 
+def give_back() -> None:
+    """Hand the memory that a worker no longer uses back to the system: workers live on between tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that go to Python workers, so that long texts don't pile up in one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, fold, parts, small_batches, stored, words
+from .common import bucketed, fold, give_back, parts, small_batches, stored, words
 from .packing import pack, pack_words, unpack, unpack_words
 
 DEPTH = 3
@@ -58,7 +58,7 @@ KAPPA = 1.0
 #: Text of a block, which a task holds at once.
 BLOCK_BYTES = 10 << 20
 #: Training tokens of a part, if spread evenly.
-PART_TOKENS = 1_500_000
+PART_TOKENS = 1_000_000
 #: Training tokens of a context that is cut into slices.
 HOT = 1_500_000
 #: Tokens of a part that are scored together, if spread evenly.
@@ -120,6 +120,7 @@ def encoded(docs: DataFrame, id: str, text: str, modulus: int, remainder: int, b
                 number, held, size = number + 1, [], 0
         if held:
             yield block(number, held)
+        give_back()
 
     small_batches(docs.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -283,6 +284,7 @@ def opened(number: dict, unit: float, n_parts: int, hot: int) -> pa.Table:
     of_context = np.where((n >= hot) & (names >= 0), n, 0)[symbol[at - 1]]
     code = 2 * doc + ~np.repeat(held, sizes)
     out.tokens(block, Tokens([b[at] for b in before], symbol[at], code[at], names, n), 1, of_context)
+    give_back()
     return out.table()
 
 
@@ -349,10 +351,15 @@ def worked(table: pa.Table, unit: float, n_parts: int, hot: int) -> pa.Table:
             symbol.append(own.names[own.symbol])
             base.append(log_base(own.extra, unit)[own.symbol])
             doc.append(own.doc)
-        before, symbol, value = [np.concatenate(b) for b in before], np.concatenate(symbol), np.concatenate(base)
-        base, teach = None, np.concatenate(doc) & 1
+        # Pieces go as soon as they are whole.
+        for pieces in before:
+            pieces[:] = [np.concatenate(pieces)]
+        before = [pieces[0] for pieces in before]
+        symbol = np.concatenate(symbol)
+        value = np.concatenate(base)
+        base, teach = None, (np.concatenate(doc) & 1).astype(bool)
         group = (mixed(before[:level]) % np.uint64(len(symbol) // TOGETHER + 1)).astype(np.int32)
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group, kind="stable").astype(np.int32)
         for a, z in spans(group[order]):
             at = order[a:z]
             value[at] = token_scores(symbol[at], [b[at] for b in before], teach[at].astype(float), value[at], level)
@@ -374,6 +381,7 @@ def worked(table: pa.Table, unit: float, n_parts: int, hot: int) -> pa.Table:
         cut = np.cumsum([0, *(len(f[1]) for f in found)])
         for (block, at, *_), a, z in zip(found, cut, cut[1:]):
             out.send(part, ANSWER, block, pack(at, joint[place[a:z]]), context)
+    give_back()
     return pa.concat_tables([table.filter(pa.array(np.isin(kinds, [BASE, SUMS, HOT_TOKENS]))).cast(out.table().schema), out.table()])
 
 
