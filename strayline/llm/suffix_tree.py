@@ -56,12 +56,12 @@ MIN_JOINT = 2
 MIN_DIVERGENCE = 0.02
 KAPPA = 1.0
 #: Text of a block, which a task holds at once.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 14 << 20
 #: Training tokens of a part, if spread evenly.
-PART_TOKENS = 1_000_000
+PART_TOKENS = 1_500_000
 #: Training tokens of a context that is cut into slices.
-HOT = 1_500_000
-#: Tokens of a part that are scored together, if spread evenly.
+HOT = 4_000_000
+#: Tokens of a part whose contexts are looked at together, if spread evenly.
 TOGETHER = 400_000
 #: Blocks whose distinct words an owner of hashes gets, if spread evenly.
 OWNED = 4
@@ -78,8 +78,8 @@ BASE, SUMS, HOT_TOKENS, ASK, ANSWER, TOTAL, COLD = range(7)
 #: Words of a hot context, the latest first, and -1 for none.
 CONTEXT = [f"c{i}" for i in range(1, DEPTH + 1)]
 NAMES = ["part", "kind", "block", *CONTEXT, "data", "of_context", "stored_n", "stored_q", "deeper"]
-TYPES = [pa.int32(), pa.int32(), *[pa.int64()] * (DEPTH + 1), pa.binary(), *[pa.float64()] * 3, pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))]
-MESSAGE = f"part int, kind int, block long, {', '.join(f'{c} long' for c in CONTEXT)}, data binary, of_context double, stored_n double, stored_q double, deeper array<struct<word:long,n:long>>"
+TYPES = [pa.int64(), pa.int32(), *[pa.int64()] * (DEPTH + 1), pa.binary(), *[pa.float64()] * 3, pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))]
+MESSAGE = f"part long, kind int, block long, {', '.join(f'{c} long' for c in CONTEXT)}, data binary, of_context double, stored_n double, stored_q double, deeper array<struct<word:long,n:long>>"
 
 
 def with_ends(values: np.ndarray, offsets: np.ndarray, end) -> np.ndarray:
@@ -180,7 +180,7 @@ def mixed(columns: list[np.ndarray]) -> np.ndarray:
 
 @dataclass
 class Tokens:
-    """before: the last word, the one before it and so on, negative for none; symbol: places among names; doc: twice the text's place in its block, and one more where it teaches; extra: for each name its training count or, after a hot context, its log10 probability."""
+    """before: the last word, the one before it and so on, negative for none; symbol: places among names, which rise; doc: twice the text's place in its block, and one more where it teaches; extra: for each name its training count or, after a hot context, its log10 probability."""
 
     before: list[np.ndarray]
     symbol: np.ndarray
@@ -193,12 +193,13 @@ class Tokens:
         return Tokens([b[at] for b in self.before], symbol, self.doc[at], self.names[used], self.extra[used])
 
     def packed(self) -> bytes:
-        return pack(*self.before, self.symbol, self.doc, self.names, self.extra)
+        return pack(*self.before, self.symbol, self.doc, np.diff(self.names, prepend=0), self.extra)
 
     @classmethod
     def of(cls, data: bytes) -> Tokens:
-        *before, symbol, doc, names, extra = unpack(data)
-        return cls(before, symbol, doc, names, extra)
+        *before, symbol, doc, steps, extra = unpack(data)
+        names = np.cumsum(steps, dtype=np.int64)
+        return cls(before, symbol, doc, names.astype(np.int32) if len(names) and names[-1] < 1 << 31 else names, extra)
 
 
 def log_base(extra: np.ndarray, unit: float) -> np.ndarray:
@@ -213,8 +214,8 @@ def spans(key: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 class Outbox:
-    def __init__(self, n_parts: int, hot: int) -> None:
-        self.n_parts, self.hot, self.rows = n_parts, hot, []
+    def __init__(self, n_parts: int, alone: int, hot: int) -> None:
+        self.n_parts, self.alone, self.hot, self.rows = n_parts, min(alone, hot), hot, []
 
     def send(self, part: int, kind: int, block: int, data: bytes, context: tuple = (), of_context=None, stored_n=None, stored_q=None, deeper=None) -> None:
         self.rows.append((part, kind, block, *context, *[-1] * (DEPTH - len(context)), data, of_context, stored_n, stored_q, deeper))
@@ -227,10 +228,14 @@ class Outbox:
         self.send(block % self.n_parts, SUMS, block, pack(docs, np.bincount(place, value).astype(np.float32)))
 
     def tokens(self, block: int, tokens: Tokens, level: int, of_context: np.ndarray) -> None:
-        """Tokens after the same words but the last of level go on. of_context: the training tokens after each one's context if that is hot, else 0."""
-        cold = np.flatnonzero(of_context == 0).astype(np.int32)
+        """Tokens after the same words but the last of level go on. of_context: the training tokens after each one's context if they are many, else 0."""
+        cold = np.flatnonzero(of_context < self.hot).astype(np.int32)
         latest = [b[cold] for b in tokens.before[: max(2, level)]]
-        part = (latest[0] % self.n_parts if level == 1 else mixed(latest[:level]) % np.uint64(self.n_parts)).astype(np.int32)
+        part = latest[0] % self.n_parts if level == 1 else (mixed(latest[:level]) % np.uint64(self.n_parts)).astype(np.int32)
+        if level == 1 and len(many := np.flatnonzero(of_context[cold] >= self.alone)):
+            # A word with a part's worth of tokens has one of its own.
+            part = part.astype(np.int64)
+            part[many] = self.n_parts + latest[0][many].astype(np.int64)
         # Tokens that lie with their like take less room.
         like = part.astype(np.int64) << 20
         like += latest[0] & 0xFFFFF
@@ -241,7 +246,7 @@ class Outbox:
         cold, part, like = cold[order], part[order], None
         for a, z in spans(part):
             self.send(int(part[a]), COLD + level, block, tokens.some(cold[a:z]).packed())
-        hot = np.flatnonzero(of_context)
+        hot = np.flatnonzero(of_context >= self.hot)
         hot = hot[np.argsort(tokens.before[level - 1][hot], kind="stable")]
         for a, z in spans(tokens.before[level - 1][hot]):
             own, n = tokens.some(hot[a:z]), int(of_context[hot[a]])
@@ -256,9 +261,9 @@ class Outbox:
                 self.send((first + int(slice_of[at[0]])) % self.n_parts, ASK, block, pack(at, own.names[at], times[at], own.extra[at]), context)
 
 
-def opened(number: dict, unit: float, n_parts: int, hot: int) -> pa.Table:
+def opened(number: dict, unit: float, n_parts: int, alone: int, hot: int) -> pa.Table:
     """The messages of a block: its texts under the root, and its tokens."""
-    out = Outbox(n_parts, hot)
+    out = Outbox(n_parts, alone, hot)
     block, held, sizes, codes = (number[c] for c in ("block", "held_out", "sizes", "codes"))
     # Words that no state can have are one symbol for each count.
     names, first, place = np.unique(number["number"], return_index=True, return_inverse=True)
@@ -277,67 +282,92 @@ def opened(number: dict, unit: float, n_parts: int, hot: int) -> pa.Table:
         back[k:] = np.where(ok, np.maximum(word[:-k], -1), word.dtype.type(-1))
         before.append(back)
     del since, word
-    alone, root = before[0] < 0, log_base(n, unit)
-    sums = [np.bincount(doc, x, len(sizes)) for x in ((n > 0)[symbol], root[symbol])] + [np.bincount(doc[alone], root[symbol[alone]], len(sizes))]
+    first_words, root = before[0] < 0, log_base(n, unit)
+    sums = [np.bincount(doc, x, len(sizes)) for x in ((n > 0)[symbol], root[symbol])] + [np.bincount(doc[first_words], root[symbol[first_words]], len(sizes))]
     out.send(block % n_parts, BASE, block, pack(sizes, sums[0].astype(np.int64), *sums[1:]))
-    at = np.flatnonzero(~alone)
-    of_context = np.where((n >= hot) & (names >= 0), n, 0)[symbol[at - 1]]
+    at = np.flatnonzero(~first_words)
+    of_context = np.where((n >= out.alone) & (names >= 0), n, 0)[symbol[at - 1]]
     code = 2 * doc + ~np.repeat(held, sizes)
     out.tokens(block, Tokens([b[at] for b in before], symbol[at], code[at], names, n), 1, of_context)
     give_back()
     return out.table()
 
 
-def token_scores(symbol: np.ndarray, before: list[np.ndarray], weight: np.ndarray, base: np.ndarray, level: int = 1) -> np.ndarray:
-    """log10 probability of each token by the tree of the tokens with a weight.
+def places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the position of one of each distinct key, in their order; of each key its place among them)."""
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    risen = key[order]
+    new = np.r_[True, risen[1:] != risen[:-1]][: len(key)]
+    del risen
+    place = np.empty(len(key), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return order[new], place
 
-    symbol: -1 - n for words that no state has. before: the last word, the one before it and so on, negative for none. base: what contexts shorter than level say.
-    All tokens after the last level words of any must be there: then so are all contexts that end in them, with their suffixes and counts.
+
+def token_scores(symbol: np.ndarray, before: list[np.ndarray], teach: np.ndarray, value: np.ndarray, level: int = 1, some: np.ndarray | None = None, together: int = TOGETHER) -> None:
+    """Sets value to the log10 probability of each token, or of those at some, by the tree of those that teach.
+
+    symbol: -1 - n for words that no state has. before: the last word, the one before it and so on, negative for none. value: what contexts shorter than level say.
+    All tokens after the last level words of any must be there: then so are all contexts that end in them, with their suffixes and counts. Contexts are
+    looked at in groups of about so many tokens together; a larger one alone, and those that end in it in groups again.
     """
-    best = base.copy()
-    at = np.flatnonzero(before[level - 1] >= 0)
-    width = max([0, *(int(x.max()) for x in (symbol, *before) if len(x))]) + LOW + 1
-    if width * len(symbol) >= 1 << 62:
-        used, place = np.unique(np.concatenate([symbol, *before]), return_inverse=True)
-        place = np.where(used < 0, used, np.cumsum(used >= 0) - 1)[place]
-        symbol, *before = place.reshape(DEPTH + 1, -1)
-        width = len(used) + LOW
-    context = np.zeros(len(at), np.int64)
+    if some is None:
+        some = np.arange(len(symbol), dtype=np.int32)
+    some = some[before[level - 1][some] >= 0]
+    group = np.zeros(len(some), np.uint32)
     for k in range(level):
-        context = context * width + before[k][at]
-        if k + 1 < level:
-            context = np.unique(context, return_inverse=True)[1]
-    for k in range(level - 1, DEPTH):
-        if k >= level:
-            more = before[k][at] >= 0
-            at, context = at[more], context[more] * width + before[k][at[more]]
-        if not len(at):
-            break
-        context = np.unique(context, return_inverse=True)[1]
-        of_context = np.bincount(context, weight[at])
-        # A longer context is no more common than its suffix: where this one is no candidate, none is.
-        often = of_context[context] >= MIN_CONTEXT
-        at, context = at[often], context[often]
-        if not len(at):
-            break
-        _, first, entry = np.unique(context * width + (symbol[at] + LOW), return_index=True, return_inverse=True)
-        n, place, q = np.bincount(entry, weight[at]), context[first], 10 ** best[at[first]]
-        kept = (n >= MIN_JOINT) & (symbol[at[first]] >= 0)
-        size = len(of_context)
-        stored_n = np.bincount(place[kept], n[kept], size)
-        stored_q = np.bincount(place[kept], q[kept], size)
-        rest = (of_context - stored_n + KAPPA) / (of_context + KAPPA)
-        p = n / (of_context + KAPPA)[place] + rest[place] * q
-        gain = np.bincount(place[kept], (p * np.log(p / q))[kept], size) + rest * np.maximum(0, 1 - stored_q) * np.log(rest)
-        value = np.where(kept, np.log10(p), np.log10(rest[place]) + np.log10(q))
-        state = gain >= MIN_DIVERGENCE
-        best[at] = np.where(state[context], value[entry], best[at])
-    return best
-
-
-def worked(table: pa.Table, unit: float, n_parts: int, hot: int) -> pa.Table:
+        group ^= before[k][some].astype(np.uint32)
+        group *= np.uint32(0x9E3779B1)
+        group ^= group >> np.uint32(15)
+    group %= np.uint32(len(some) // together + 1)
+    order = np.argsort(group, kind="stable").astype(np.int32)
+    cuts = list(spans(group[order]))
+    some, group = some[order], None
+    del order
+    for a, z in cuts:
+        at = some[a:z]
+        context = np.zeros(len(at), np.int32)
+        for k in range(level):
+            key = context.astype(np.int64)
+            key <<= 42
+            key |= before[k][at]
+            context = places(key)[1]
+            del key
+        at = one_level(at, context, symbol, teach, value)
+        del context
+        if level < DEPTH and len(at):
+            token_scores(symbol, before, teach, value, level + 1, at, together)
+
+
+def one_level(at: np.ndarray, context: np.ndarray, symbol: np.ndarray, teach: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Sets the values of the tokens at at by their contexts alone. Returns those whose context is a candidate: no longer one is more common than its suffix."""
+    of_context = np.bincount(context[teach[at]], minlength=int(context.max()) + 1 if len(context) else 0)
+    often = of_context[context] >= MIN_CONTEXT
+    at, context = at[often], context[often]
+    del often
+    # A number of a word has up to 42 bits, a place in a part fewer than 21 bits more.
+    key = context.astype(np.int64)
+    key <<= 42
+    key |= symbol[at] + LOW
+    first, entry = places(key)
+    del key
+    n, place, own = np.bincount(entry[teach[at]], minlength=len(first)), context[first], symbol[at[first]]
+    log_q = value[at[first]]
+    q, kept, size = 10**log_q, (n >= MIN_JOINT) & (own >= 0), len(of_context)
+    stored_n = np.bincount(place[kept], n[kept], size)
+    stored_q = np.bincount(place[kept], q[kept], size)
+    rest = (of_context - stored_n + KAPPA) / (of_context + KAPPA)
+    p = n / (of_context + KAPPA)[place] + rest[place] * q
+    gain = np.bincount(place[kept], (p * np.log(p / q))[kept], size) + rest * np.maximum(0, 1 - stored_q) * np.log(rest)
+    found = np.where(kept, np.log10(p), np.log10(rest[place]) + log_q)
+    found = np.where((gain >= MIN_DIVERGENCE)[place], found, log_q)
+    value[at] = found[entry]
+    return at
+
+
+def worked(table: pa.Table, unit: float, n_parts: int, alone: int, hot: int) -> pa.Table:
     """A part's answers: sums for the tokens that are all here, and what it knows of the symbols after hot contexts."""
-    out, kinds = Outbox(n_parts, hot), table["kind"].to_numpy()
+    out, kinds = Outbox(n_parts, alone, hot), table["kind"].to_numpy()
     for level in range(1, DEPTH + 1):
         rows = table.filter(pa.array(kinds == COLD + level))
         if not len(rows):
@@ -358,11 +388,7 @@ def worked(table: pa.Table, unit: float, n_parts: int, hot: int) -> pa.Table:
         symbol = np.concatenate(symbol)
         value = np.concatenate(base)
         base, teach = None, (np.concatenate(doc) & 1).astype(bool)
-        group = (mixed(before[:level]) % np.uint64(len(symbol) // TOGETHER + 1)).astype(np.int32)
-        order = np.argsort(group, kind="stable").astype(np.int32)
-        for a, z in spans(group[order]):
-            at = order[a:z]
-            value[at] = token_scores(symbol[at], [b[at] for b in before], teach[at].astype(float), value[at], level)
+        token_scores(symbol, before, teach, value, level)
         cut = np.cumsum([0, *map(len, doc)])
         for block, own, a, z in zip(rows["block"].to_pylist(), doc, cut, cut[1:]):
             out.sums(block, own, value[a:z])
@@ -412,9 +438,9 @@ def hot_contexts(totals: DataFrame, level: int) -> DataFrame:
     return found.join(longer.groupBy(*CONTEXT).agg(F.collect_list("d").alias("deeper")), CONTEXT, "left")
 
 
-def advanced(table: pa.Table, unit: float, n_parts: int, hot: int) -> pa.Table:
+def advanced(table: pa.Table, unit: float, n_parts: int, alone: int, hot: int) -> pa.Table:
     """A block's tokens after one hot context: sums of those that are done, and the others with what the context says of them."""
-    out, kinds = Outbox(n_parts, hot), table["kind"].to_numpy()
+    out, kinds = Outbox(n_parts, alone, hot), table["kind"].to_numpy()
     row = table.filter(pa.array(kinds == HOT_TOKENS)).to_pylist()[0]
     tokens, block = Tokens.of(row["data"]), row["block"]
     level = sum(row[c] >= 0 for c in CONTEXT)
@@ -446,15 +472,16 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus: int
     numbers = stored(numbered(blocks, max(parts(spark), blocks.count() // OWNED)), "numbers")
     total, kinds, most = (x or 0 for x in numbers.agg(F.sum("tokens"), F.sum("kinds"), F.max("most")).first())
     unit, n_parts, hot = total + 0.5 * (kinds + 1), max(parts(spark), -(-total // part_tokens)), max(hot, LOW)
+    known = (unit, n_parts, part_tokens, hot)
 
     def first(left: pa.Table, right: pa.Table) -> pa.Table:
         own, right = left.to_pylist()[0], right.sort_by("owner")
         number, n = (np.concatenate(x) for x in zip(*(unpack(d.as_py()) for d in right["data"])))
         read = {c: unpack(own[c])[0] for c in ("sizes", "codes")}
-        return opened({"block": own["block"], "held_out": np.array(own["held_out"]), "number": number, "n": n, **read}, unit, n_parts, hot)
+        return opened({"block": own["block"], "held_out": np.array(own["held_out"]), "number": number, "n": n, **read}, *known)
 
     def work(messages: DataFrame) -> DataFrame:
-        return messages.groupBy("part").applyInArrow(lambda t: worked(t, unit, n_parts, hot), MESSAGE)
+        return messages.groupBy("part").applyInArrow(lambda t: worked(t, *known), MESSAGE)
 
     sent = blocks.select("block", "held_out", "sizes", "codes").groupBy("block").cogroup(numbers.select("block", "owner", "data").groupBy("block")).applyInArrow(first, MESSAGE)
     now = work(sent)
@@ -469,7 +496,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus: int
             facts = stored(hot_contexts(totals, level), f"hot-contexts-{level}")
             tokens = now.filter(F.col("kind") == HOT_TOKENS).drop("of_context", "stored_n", "stored_q", "deeper").join(facts, CONTEXT).select(*NAMES)
             on = tokens.union(now.filter(F.col("kind") == ANSWER).select(*NAMES)).groupBy("block", *CONTEXT)
-            on = on.applyInArrow(lambda t: advanced(t, unit, n_parts, hot), MESSAGE)
+            on = on.applyInArrow(lambda t: advanced(t, *known), MESSAGE)
             now = stored(work(on), f"messages-{level}")
             results.append(now)
 
