@@ -4,12 +4,13 @@ Every word gets the scores of its affixes, character n-grams and the languages'
 lexicons; transitions between the languages of neighbouring words are learned with
 them. Forward-backward gives each word's posterior over its whole text, however long:
 chunks of a text are first summed up as matrices, which chain the chunks exactly, and
-are then run again from both ends. A text's language is the one with the most
+are then run again from both ends. Runs of words whose likeliest language is one are
+the text's spans; words without a letter go with the run they are in. A text's language is the one with the most
 posterior over words with a letter, and its score is that language's mean.
 
 The model is fitted by gradient on the likelihood of at most ``MAX_TEXTS`` whole texts,
 languages in turn, each those with the smallest hash of their id, with every word labelled as its text is.
-Texts that are null or have no letter are ``und`` with score 0. If no text is labelled,
+Texts that are null or have no letter are ``und`` with score 0 and have no span. If no text is labelled,
 all are. An empty table gives an empty result. Equal posteriors go to the language
 that sorts first.
 """
@@ -266,9 +267,21 @@ def fit(docs: DataFrame, modulus: int = 4, remainder: int = 2, most: int = MAX_T
 
 
 
-def predict(docs: DataFrame, model: Crf | None, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score."""
+def runs_of(label: np.ndarray, counted: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, text) of the runs of words with one label. Words that don't count go on with the run before them, or begin the one after; texts without any that counts have no run."""
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.flatnonzero(counted)
+    own, language = text[at], label[at]
+    first = np.r_[True, own[1:] != own[:-1]][: len(at)]
+    new = first | np.r_[True, language[1:] != language[:-1]][: len(at)]
+    return np.where(first, offsets[own], at)[new], own[new]
+
+
+def spans(docs: DataFrame, model: Crf | None, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score and spans: the runs of words of one language, with the places of the first word and of the one after the last, and the language's mean posterior over words with a letter."""
     spec = docs.sparkSession.sparkContext.broadcast(model)
+    fields = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("score", pa.float64())])
+    names = ["doc_id", "lang_pred", "score", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = spec.value
@@ -279,31 +292,48 @@ def predict(docs: DataFrame, model: Crf | None, id: str = "doc_id", text: str =
             texts = batch.column(1)
             if crf is None:
                 n = len(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([UNKNOWN] * n), pa.array(np.zeros(n))], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([UNKNOWN] * n), pa.array(np.zeros(n)), pa.array([[]] * n, pa.list_(fields))], names)
                 continue
             codes, offsets, known = words(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")))
             if len(row_of) > CACHE:
                 row_of, scores = {}, scores[:0]
-            names = known.to_pylist()
-            new = [w for w in names if w not in row_of]
+            distinct = known.to_pylist()
+            new = [w for w in distinct if w not in row_of]
             used = len(row_of)
             if used + len(new) > len(scores):
                 scores = np.vstack([scores[:used], np.zeros((used + 2 * len(new), k), np.float32)])
             scores[used : used + len(new)] = crf.emissions(new)
             row_of.update(zip(new, range(used, used + len(new))))
-            emission = scores[np.fromiter(map(row_of.__getitem__, names), np.int64, len(names))]
+            emission = scores[np.fromiter(map(row_of.__getitem__, distinct), np.int64, len(distinct))]
             letter = np.asarray(pc.match_substring_regex(known, r"\pL")).astype(bool)
             post = posteriors(emission[codes].astype(np.float64), offsets, crf.transitions)
             counted = letter[codes]
             sums = np.stack([np.r_[0, np.cumsum(post[:, j] * counted)] for j in range(k)], axis=1)
-            mass = sums[offsets[1:]] - sums[offsets[:-1]]
-            n = np.r_[0, np.cumsum(counted)]
-            n = n[offsets[1:]] - n[offsets[:-1]]
+            count = np.r_[0, np.cumsum(counted)]
+            mass, n = sums[offsets[1:]] - sums[offsets[:-1]], count[offsets[1:]] - count[offsets[:-1]]
             best = mass.argmax(axis=1)
             share = np.clip(mass[np.arange(len(best)), best] / np.maximum(n, 1), 0, 1)
             name = [crf.languages[b] if c else UNKNOWN for b, c in zip(best, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), pa.array(np.where(n > 0, share, 0.0))], ["doc_id", "lang_pred", "score"])
+
+            label = post.argmax(axis=1)
+            start, own = runs_of(label, counted, offsets)
+            end = np.r_[start[1:], 0][: len(start)]
+            last = np.r_[own[1:] != own[:-1], True][: len(own)]
+            end[last] = offsets[own[last] + 1]
+            # A run's first word may be one that doesn't count: its last word with a letter has the language.
+            lettered = np.flatnonzero(counted)
+            language = label[lettered[count[end] - 1]] if len(start) else start
+            mean = (sums[end, language] - sums[start, language]) / np.maximum(count[end] - count[start], 1)
+            parts = [pa.array((start - offsets[own]).astype(np.int32)), pa.array((end - offsets[own]).astype(np.int32)), pa.array([crf.languages[j] for j in language], pa.string()), pa.array(np.clip(mean, 0, 1))]
+            cut = np.searchsorted(own, np.arange(len(offsets)))
+            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(fields)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), pa.array(np.where(n > 0, share, 0.0)), lists], names)
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string,score:double>>")
+
+
+def predict(docs: DataFrame, model: Crf | None, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score."""
+    return spans(docs, model, id, text).drop("spans")

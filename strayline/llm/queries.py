@@ -57,8 +57,8 @@ FROM t WINDOW g AS (PARTITION BY s)
 
 def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir)
-    found = crf_langid.predict(docs, crf_langid.fit(docs)).withColumn("held_out", fold(F.col("doc_id"), 4, 2))
-    return found.select("doc_id", "held_out", "lang_pred", "score")
+    found = crf_langid.spans(docs, crf_langid.fit(docs)).withColumn("held_out", fold(F.col("doc_id"), 4, 2))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "spans")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

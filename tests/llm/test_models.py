@@ -146,6 +146,20 @@ def test_switched_words_are_labelled_apart():
     assert [model.languages[i] for i in post.argmax(axis=1)] == ["en"] * 6 + ["de"] * 6
 
 
+def test_spans_of_switched_texts(spark):
+    texts = ["the cat and the dog sat with them there"] * 20 + ["der hund und die katze sind nicht hier"] * 20
+    model = crf_langid.train(texts, ["en"] * 20 + ["de"] * 20, steps=60)
+    asked = [(1, "- the cat and 12 the dog sat der hund, und die katze sind"), (2, None), (3, "12 -"), (4, "der hund"), (4, "der hund"), (5, "")]
+    found = crf_langid.spans(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()
+    assert len(found) == len(asked)
+    by_id = {r.doc_id: r for r in found}
+    assert [(s.start, s.end, s.lang) for s in by_id[1].spans] == [(0, 8, "en"), (8, 14, "de")]
+    assert all(0.5 < s.score <= 1 for s in by_id[1].spans)
+    assert [(s.start, s.end, s.lang) for s in by_id[4].spans] == [(0, 2, "de")] and by_id[4].lang_pred == "de"
+    assert not by_id[2].spans and not by_id[3].spans and not by_id[5].spans and by_id[3].lang_pred == "und"
+    assert all(r.spans == [] for r in crf_langid.spans(spark.createDataFrame(asked, "doc_id long, text string"), None).collect())
+
+
 def test_nearest_is_brute_force():
     r = np.random.default_rng(0)
     n, width = 300, 40
@@ -153,7 +167,7 @@ def test_nearest_is_brute_force():
     dense = dense[dense.any(axis=1)]
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     example, term = np.nonzero(dense)
-    index = toxicity_knn.Index.of(pa.array([f"w:{i}" for i in range(width)]), np.ones(width), list(range(len(dense))), r.integers(0, 2, len(dense)), example, term, dense[example, term], 0.1)
+    index = toxicity_knn.Index.of(pa.array([f"w:{i}" for i in range(width)]), np.ones(width), list(range(len(dense))), r.integers(0, 2, len(dense)), example, term, dense[example, term], 0.1, {})
     for _ in range(60):
         q = r.random(width) * (r.random(width) < 0.15)
         at = np.flatnonzero(q)
@@ -204,6 +218,19 @@ def test_common_words_take_no_term_s_place(spark, monkeypatch):
     assert index.vocabulary.to_pylist() == ["w:dolt"]
 
 
+def test_rare_insults_are_found_in_copies(spark):
+    """An insult of one example is no term, but a text that equals the example has it as its nearest."""
+    rows = [(i, f"some of these words {chr(97 + i % 26)}o{i} dolt", 1) for i in range(30)] + [(100, "You rare   nincompoop", 1), (101, "", 1)] + [(200 + i, f"some of these words {chr(97 + i % 26)}a{i}", 0) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    index = toxicity_knn.fit(docs, labels, modulus=1000, remainder=999)
+    asked = spark.createDataFrame([(1, "you rare NINCOMPOOP\n"), (2, "you rare"), (3, None), (4, "some of these words aa0"), (5, "dolt!")], "doc_id long, text string")
+    found = {r.doc_id: r for r in toxicity_knn.score(asked, index).collect()}
+    assert found[1].score >= toxicity_knn.THRESHOLD and found[1].evidence == [100]
+    assert found[5].score >= toxicity_knn.THRESHOLD
+    assert all(found[i].score < toxicity_knn.THRESHOLD for i in (2, 3, 4)) and found[4].evidence == [200]
+
+
 def test_prior_and_risk_on_made_up_texts():
     r = np.random.default_rng(3)
     good = lambda n: np.column_stack([r.normal(2, 1, n), r.normal(0, 1, n)])
