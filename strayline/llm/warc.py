@@ -4,7 +4,12 @@ A response becomes two records that name it in WARC-Refers-To: ``metadata``
 (application/warc-fields: title, language, outlinks and the source's headers and
 digests) and ``conversion`` (text/plain). Each carries the source's target URI and
 date, its own block digest, and the payload digest of the response. Record ids are
-name-based, so a rerun writes the same ones.
+name-based, so a rerun writes the same ones. On file the response's digest and headers
+are in fields of their own, the latter with percent signs and line ends as percent codes.
+
+A payload is the response's body without chunks of a transfer encoding. For its text
+content encodings are undone (gzip, deflate, zstd) and characters are decoded as the headers, a byte
+order mark or a meta element say, or else as UTF-8. What isn't as its headers say is taken as it stands.
 
 ``responses`` makes response records of a table of pages, ``read`` takes them from WARC
 files, and ``member`` gives each record as a gzip member: members put one after another
@@ -19,21 +24,26 @@ result; rows that repeat give records that repeat.
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches
 
+#: Records that read holds at once.
+HELD_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "record_id string, target_uri string, date string, http_headers string, payload binary, payload_digest string"
 DERIVED = (
@@ -71,6 +81,75 @@ def attributes(rest: str) -> dict[str, str]:
     return out
 
 
+def fields_of(headers: str) -> dict[str, str]:
+    """Fields of a message's headers by lower-cased name; the values of one that comes again are joined by commas."""
+    out: dict[str, str] = {}
+    for line in headers.splitlines()[1:]:
+        name, colon, value = line.partition(":")
+        name = name.strip().lower()
+        if colon:
+            out[name] = f"{out[name]}, {value.strip()}" if name in out else value.strip()
+    return out
+
+
+def unchunked(body: bytes) -> bytes:
+    """The body without its chunks' sizes; as it stands if it isn't in chunks."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,8}", size):
+            return body
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n
+        if body[at : at + 2] != b"\r\n":
+            # A body that was cut off ends inside a chunk or after one.
+            return b"".join(out) if at >= len(body) else body
+        at += 2
+
+
+def _inflated(body: bytes, *windows: int) -> bytes:
+    for bits in windows:
+        try:
+            stream = zlib.decompressobj(bits)
+            return stream.decompress(body) + stream.flush()
+        except zlib.error:
+            pass
+    return body
+
+
+def _unzstd(body: bytes) -> bytes:
+    try:
+        return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+    except zstandard.ZstdError:
+        return body
+
+
+CODINGS = {"gzip": lambda b: _inflated(b, 31), "x-gzip": lambda b: _inflated(b, 31), "deflate": lambda b: _inflated(b, 15, -15), "zstd": _unzstd}
+CHARSET = re.compile(r"""charset\s*=\s*["']?\s*([\w.:-]+)""", re.I)
+META = re.compile(rb"<meta\b[^>]*>", re.I)
+MARKS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
+
+
+def decoded(data: bytes, headers: str) -> str:
+    """The characters of a payload."""
+    fields = fields_of(headers)
+    for name in reversed(fields.get("content-encoding", "").lower().split(",")):
+        data = CODINGS.get(name.strip(), bytes)(data)
+    found = CHARSET.search(fields.get("content-type", ""))
+    charset = next((name for mark, name in MARKS if data.startswith(mark)), None) or (found and found[1])
+    if not charset:
+        named = (CHARSET.search(tag.decode("latin-1")) for tag in META.findall(data[:2048]))
+        charset = next((m[1] for m in named if m), None)
+    try:
+        return data.decode(charset or "utf-8", errors="replace")
+    except LookupError:
+        return data.decode(errors="replace")
+
+
 def page(source: str, base: str) -> tuple[str, str, str, list[tuple[str, str]]]:
     """(text, title, language, links) of a page; links are (URL, element)."""
     pieces: list[str] = []
@@ -116,7 +195,7 @@ def _join(base: str, target: str) -> str:
 def derive(source: dict) -> list[dict]:
     """The two derived records of a response record."""
     data = source["payload"] or b""
-    text, title, language, links = page(data.decode(errors="replace"), source["target_uri"] or "")
+    text, title, language, links = page(decoded(data, source["http_headers"] or ""), source["target_uri"] or "")
     common = {
         "refers_to": source["record_id"],
         "target_uri": source["target_uri"] or "",
@@ -178,6 +257,11 @@ def derivatives(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return rows.mapInArrow(run, kept + DERIVED)
 
 
+def coded(headers: str) -> str:
+    """Headers in one line, from which urllib.parse.unquote makes them again."""
+    return headers.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
 def serialise(record: dict) -> bytes:
     """A derived record as a gzip member."""
     body = (record["block"] or "").encode()
@@ -188,6 +272,8 @@ def serialise(record: dict) -> bytes:
         "WARC-Target-URI": record["target_uri"],
         "WARC-Date": record["date"],
         "WARC-Block-Digest": record["block_digest"],
+        "WARC-Source-Payload-Digest": record["source_payload_digest"],
+        "WARC-Source-Headers": coded(record["source_headers"] or ""),
         "Content-Type": record["content_type"],
         "Content-Length": str(len(body)),
     }
@@ -197,7 +283,7 @@ def serialise(record: dict) -> bytes:
 
 def member(derived: DataFrame) -> DataFrame:
     """record_id and member, the record's bytes in a WARC file."""
-    names = ["record_type", "record_id", "refers_to", "target_uri", "date", "block_digest", "content_type", "block"]
+    names = ["record_type", "record_id", "refers_to", "target_uri", "date", "block_digest", "source_payload_digest", "source_headers", "content_type", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,22 +304,33 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := stream.readline()).strip():
             name, _, value = line.decode(errors="replace").partition(":")
             head[name.strip().lower()] = value.strip()
-        yield head, stream.read(int(head.get("content-length") or 0))
+        size = head.get("content-length", "")
+        yield head, stream.read(int(size) if size.isdecimal() else 0)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of the WARC files at path; a task holds one file at a time."""
+    """Response records of the WARC files at path; a task holds one file at a time, and a few of its records."""
+    names, kinds = [x.split()[0] for x in RECORD.split(", ")], [pa.string()] * 4 + [pa.binary(), pa.string()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                rows = []
+                rows, size = [], 0
                 for head, block in parse(data.as_py()):
-                    if head.get("warc-type") == "response":
-                        http, _, body = block.partition(b"\r\n\r\n")
-                        rows.append((head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), http.decode("latin-1") + "\r\n", body, head.get("warc-payload-digest")))
-                columns = list(zip(*rows)) or [()] * 6
-                kinds = [pa.string()] * 4 + [pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in RECORD.split(", ")])
+                    if head.get("warc-type") != "response":
+                        continue
+                    http, _, body = block.partition(b"\r\n\r\n")
+                    http = http.decode("latin-1") + "\r\n"
+                    if "chunked" in fields_of(http).get("transfer-encoding", "").lower():
+                        body = unchunked(body)
+                    rows.append((head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), http, body, head.get("warc-payload-digest")))
+                    size += len(block)
+                    if size >= HELD_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                yield batch_of(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)

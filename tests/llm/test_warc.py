@@ -2,9 +2,12 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 from html.parser import HTMLParser
+from urllib.parse import unquote
 
 import pytest
+import zstandard
 
 from strayline.llm import queries, warc
 
@@ -96,6 +99,7 @@ def test_files_there_and_back(spark, tmp_path, sf_dir):
     for head, block in records:
         own = blocks[head["warc-record-id"]]
         assert block.decode() == own.block and head["warc-refers-to"] == own.refers_to and head["warc-type"] == own.record_type
+        assert head["warc-source-payload-digest"] == own.source_payload_digest and unquote(head["warc-source-headers"]) == own.source_headers
     http = b"HTTP/1.1 200 OK\r\nServer: t\r\n\r\n<p>hi</p>"
     one = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a/\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n"
     info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
@@ -108,6 +112,50 @@ def test_files_there_and_back(spark, tmp_path, sf_dir):
     assert all("Server: t" in r.source_headers and r.refers_to == "<urn:uuid:1>" and r.date == "2020-01-01T00:00:00Z" for r in found)
 
 
+def chunked(body):
+    return b"".join(b"%x;x=1\r\n" % len(body[i : i + 7]) + body[i : i + 7] + b"\r\n" for i in range(0, len(body), 7)) + b"0\r\n\r\n"
+
+
+@pytest.mark.parametrize(
+    "headers,body",
+    [
+        ("Content-Type: text/html; charset=ISO-8859-1", "<p>caf\xe9</p>".encode("latin-1")),
+        ("Content-Type: text/html", "<meta name=x><meta charset='windows-1252'><p>caf\xe9</p>".encode("cp1252")),
+        ("Content-Type: text/html; charset=nonsense", "<p>café</p>".encode()),
+        ("Content-Type: text/html", "<p>café</p>".encode("utf-16")),
+        ("Content-Encoding: gzip", gzip.compress("<p>café</p>".encode())),
+        ("content-encoding: deflate", zlib.compress("<p>café</p>".encode())),
+        ("Content-Encoding: deflate", zlib.compress("<p>café</p>".encode())[2:-4]),
+        ("Content-Encoding: zstd", zstandard.ZstdCompressor().compress("<p>café</p>".encode())),
+        ("Content-Encoding: gzip", "<p>café</p>".encode()),
+        ("Transfer-Encoding: chunked", chunked("<p>café</p>".encode())),
+        ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked(gzip.compress("<p>café</p>".encode()))),
+        ("Transfer-Encoding: chunked", "<p>café</p>".encode()),
+    ],
+)
+def test_encoded_responses(spark, tmp_path, headers, body):
+    http = b"HTTP/1.1 200 OK\r\n" + headers.encode() + b"\r\n\r\n" + body
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n")
+    found = {r.record_type: r for r in warc.derivatives(warc.read(spark, str(tmp_path))).collect()}
+    assert found["conversion"].block == "café"
+    assert headers.splitlines()[0] in found["metadata"].source_headers
+
+
+def test_cut_off_chunks_give_what_is_there():
+    whole = chunked(b"<p>some words</p>")
+    assert warc.unchunked(whole[:-9]) == b"<p>some words</p>"[: len(warc.unchunked(whole[:-9]))] != b""
+    assert warc.unchunked(b"") == b"" and warc.unchunked(b"zz\r\n") == b"zz\r\n"
+
+
+def test_records_come_in_bounded_batches(spark, tmp_path, monkeypatch):
+    http = b"HTTP/1.1 200 OK\r\n\r\n<p>" + b"x" * 1000 + b"</p>"
+    one = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n"
+    bad = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\n\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(one * 30 + bad + one)
+    monkeypatch.setattr(warc, "HELD_BYTES", 5000)
+    assert warc.read(spark, str(tmp_path)).count() == 32
+
+
 def test_null_pages(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>a", None), (1, None, None, "x")], "page_id long, url string, html string, record_id string")
     found = warc.derivatives(warc.responses(pages), carry=("page_id",)).toPandas()
