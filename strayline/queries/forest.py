@@ -210,29 +210,29 @@ def _extrapolate_sql() -> str:
     return f"{built}, {', '.join(steps)} {out}"
 
 
-EPOCHS = (10, 20, 30)
+#: Ticks after which a new forest is frozen; the last one is asked about all that comes.
+FROZEN = (0, 10, 20)
 
 
 def rcf_frozen_prequential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each ten days scored by the forest as it was when they began; the first ten score 0."""
-    rows, out, before = points(spark, sf_dir), None, 0
-    for end in EPOCHS:
-        asked = rows.filter((F.col("tick") > before) & (F.col("tick") <= end)).select("event_id", "vec")
-        nodes = cut_forest.build(reservoir.sample_as_of(rows.select("seq", "vec", "tick"), PARAMS, "tick", before), PARAMS)
+    """Rows scored by the forest as it was when their epoch began; the first score 0, and the last epoch ends with the table."""
+    rows, out = points(spark, sf_dir), None
+    for begin, end in zip(FROZEN, (*FROZEN[1:], None)):
+        asked = rows.filter((F.col("tick") > begin) & (F.lit(True) if end is None else F.col("tick") <= end)).select("event_id", "vec")
+        nodes = cut_forest.build(reservoir.sample_as_of(rows.select("seq", "vec", "tick"), PARAMS, "tick", begin), PARAMS)
         found = cut_forest.FrozenForest.collect(nodes, PARAMS).score(asked).select("event_id", rounded("score"))
-        out, before = found if out is None else out.unionByName(found), end
+        out = found if out is None else out.unionByName(found)
     return out
 
 
 def _prequential_sql() -> str:
     parts = []
-    before = 0
-    for end in EPOCHS:
-        own = SCORE_SQL.replace(f"range({PARAMS.num_trees}) t(tree) )", f"range({PARAMS.num_trees}) t(tree) WHERE tick <= {before})").replace(
-            f"'' AS path, 1.0::DOUBLE AS w FROM pt, range({PARAMS.num_trees}) t(tree)", f"'' AS path, 1.0::DOUBLE AS w FROM pt, range({PARAMS.num_trees}) t(tree) WHERE tick > {before} AND tick <= {end}"
+    for begin, end in zip(FROZEN, (*FROZEN[1:], None)):
+        asked = f"tick > {begin}" + (f" AND tick <= {end}" if end else "")
+        own = SCORE_SQL.replace(f"range({PARAMS.num_trees}) t(tree) )", f"range({PARAMS.num_trees}) t(tree) WHERE tick <= {begin})").replace(
+            f"'' AS path, 1.0::DOUBLE AS w FROM pt, range({PARAMS.num_trees}) t(tree)", f"'' AS path, 1.0::DOUBLE AS w FROM pt, range({PARAMS.num_trees}) t(tree) WHERE {asked}"
         )
-        parts.append(f"SELECT * FROM ({own})" if before else f"SELECT event_id, 0.0::DOUBLE AS score FROM (WITH {EVENTS} SELECT * FROM ev WHERE tick <= {end})")
-        before = end
+        parts.append(f"SELECT * FROM ({own})" if begin else f"SELECT event_id, 0.0::DOUBLE AS score FROM (WITH {EVENTS} SELECT * FROM ev WHERE {asked})")
     return " UNION ALL ".join(parts)
 
 
