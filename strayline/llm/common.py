@@ -62,6 +62,16 @@ def fold(column: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def early(id: str, most: int, total: Column | int) -> Column:
+    """True for few more than the rows with the smallest hashes of their id, most of total: what is ranked then doesn't grow with the table."""
+    return F.xxhash64(id).cast("double") / 2.0**64 + 0.5 < F.lit(4.0 * most) / total
+
+
+def sampled(df: DataFrame, id: str, most: int) -> DataFrame:
+    """At most so many rows, those with the smallest hash of their id; distinct ids."""
+    return df.filter(early(id, most, max(1, df.count()))).orderBy(F.xxhash64(id), id).limit(most)
+
+
 def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[str] | pa.Array]:
     """(codes, offsets, dictionary): the words of text i are dictionary[codes[offsets[i]:offsets[i+1]]]. Null is empty."""
     if isinstance(texts, pa.ChunkedArray):

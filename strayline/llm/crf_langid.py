@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches, words
+from .common import early, fold, small_batches, stored, words
 
 MAX_TEXTS = 800
 LEXICON = 2000
@@ -257,9 +257,11 @@ def _expected(x: np.ndarray, offsets: np.ndarray, moves: np.ndarray) -> tuple[np
 def fit(docs: DataFrame, modulus: int = 4, remainder: int = 2, most: int = MAX_TEXTS) -> Crf | None:
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~fold(F.col("doc_id"), modulus, remainder))
     # All languages take turns, each with the smallest hashes first, so that rare ones are learned too.
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("total")), "languages")
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    turns = rows.select("doc_id", "lang").withColumn("turn", turn).filter(F.col("turn") <= most)
-    kinds = rows.select("lang").distinct().count()
+    first = rows.select("doc_id", "lang").join(sizes, "lang").filter(early("doc_id", most, F.col("total"))).select("doc_id", "lang")
+    turns = first.withColumn("turn", turn).filter(F.col("turn") <= most)
+    kinds = sizes.count()
     some = turns.orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(max(most, kinds)).drop("turn")
     found = rows.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id", "lang").toPandas()
     return train(found["text"].tolist(), found["lang"].tolist()) if len(found) else None

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, sampled
 from .text_stats import with_counts
 
 MAX_LABELLED = 20_000
@@ -157,8 +157,7 @@ def expression(rules: list[Rule]) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int) -> DataFrame:
     """doc_id, text and label of at most so many labelled rows that are not held out, those with the smallest hash of their id."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~fold(F.col("doc_id"), modulus, remainder)).groupBy("doc_id").agg(F.max(label).alias("label"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(sampled(known, "doc_id", most)), "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, most: int = MAX_LABELLED) -> list[Rule]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, sampled, small_batches
 from .text_stats import COUNTS, counts, with_counts
 
 MAX_POSITIVE = 12_000
@@ -145,7 +145,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, edges: list[np.
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2) -> Model:
     known = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~fold(F.col("doc_id"), modulus, remainder)).select("doc_id").distinct()
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_POSITIVE).withColumn("positive", F.lit(True))
+    known = sampled(known, "doc_id", MAX_POSITIVE).withColumn("positive", F.lit(True))
     total = docs.count()
     share = min(1.0, MAX_UNLABELLED / max(1, total))
     # Other bits of the hash than those that order the positives.
