@@ -27,8 +27,8 @@ from .sequence import numbered
 
 PROJECTION_WIDTH = 4.0
 COUNT_WIDTH = 2.0
-#: Half-lives in a block: what is older than a block has decayed below 1e-77.
-BLOCK = 256
+#: Half-lives in a block: what is older than a block has decayed below 1e-240, and powers of two stay numbers.
+BLOCK = 800
 
 
 @dataclass(frozen=True)
@@ -128,14 +128,16 @@ def reference_mass(seq: Column, half_life: int) -> Column:
     return (F.lit(1.0) - F.pow(F.lit(r), (seq - 1).cast("double"))) / F.lit(1.0 - r)
 
 
-def decayed_counts(cells: DataFrame, cell: list[str], half_life: int, seq: str = "seq") -> DataFrame:
-    """cells with count: the cell's earlier rows, each halved every half_life epochs up to the epoch before seq."""
+def decayed_counts(cells: DataFrame, cell: list[str], half_life: int, seq: str = "seq", last: int | None = None) -> DataFrame:
+    """cells with count: the cell's earlier rows, each halved every half_life epochs up to the epoch before seq. last: the largest seq, if it is known."""
     length = BLOCK * half_life
     rows = cells.withColumn("__block", F.floor((F.col(seq) - 1) / F.lit(length)).cast("long"))
     at = F.col(seq) - F.col("__block") * length
     power = lambda e: F.pow(F.lit(2.0), e.cast("double") / F.lit(float(half_life)))
     inside = Window.partitionBy(*cell, "__block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__inside", F.coalesce(F.sum(power(at)).over(inside), F.lit(0.0)) * power(F.lit(1) - at))
+    if last is not None and last <= length:
+        return rows.select(*cells.columns, F.col("__inside").alias("count"))
     ends = rows.groupBy(*cell, "__block").agg(F.sum(power(at - length)).alias("__held"))
     before = Window.partitionBy(*cell).orderBy("__block")
     ends = ends.select(*cell, "__block", F.lag("__held").over(before).alias("__held"), ((F.lag("__block").over(before) + 1) * length).alias("__end"))
@@ -147,22 +149,44 @@ def decayed_counts(cells: DataFrame, cell: list[str], half_life: int, seq: str =
     return a.join(b, same).select(*[F.col(f"a.{c}") for c in cells.columns], (F.col("a.__inside") + carried).alias("count"))
 
 
-def level_surprises(events: DataFrame, order: list[str], features: str, params: SketchParams, key: tuple[str, ...] = (), fast: bool = False) -> DataFrame:
-    """order, key, seq, ensemble, chain, level, surprise of each event before it is counted."""
+def slots(vectors: DataFrame, id: list[str], params: SketchParams, fast: bool = False) -> DataFrame:
+    """id, slot and bucket: a row for each level (its place in the layout) and row of the sketch, as slot = level * rows + row."""
+    levels, rows = layout(params), params.sketch_rows
+    found = vectors.select(*id, F.array(*[bin_of(F.col(x.ensemble), x) for x in levels]).alias("__bins"))
+    own = []
+    for i, x in enumerate(levels):
+        for r in range(rows):
+            bucket = hashing.bucket(params.sketch_buckets, params.seed or 0, "cell", F.lit(x.ensemble), F.lit(x.chain), F.lit(x.level), F.lit(r), F.col("__bins")[i], fast=fast)
+            own.append(F.struct(F.lit(i * rows + r).alias("slot"), bucket.alias("bucket")))
+    return found.select(*id, F.explode(F.array(*own)).alias("__s")).select(*id, "__s.*")
+
+
+def _surprises(events: DataFrame, order: list[str], features: str, params: SketchParams, key: tuple[str, ...] = (), fast: bool = False) -> DataFrame:
+    """id, level (its place in the layout) and surprise of each event before it is counted, dealt out by event."""
     id = [*key, *order, "seq"]
     rows = numbered(events.select(*dict.fromkeys([*key, *order, features])), order, "seq", by=key)
-    long = sketch_cells(bins(projected(rows, id, features, params, fast), id, params), params, fast)
-    cell = [*key, "ensemble", "chain", "level", "hash_row", "bucket"]
-    counted = decayed_counts(long, cell, params.decay_half_life)
-    low = counted.groupBy(*id, "ensemble", "chain", "level", "ratio").agg(F.min("count").alias("count"))
-    return low.select(*id, "ensemble", "chain", "level", scoring.surprise(F.col("count"), reference_mass(F.col("seq"), params.decay_half_life), F.col("ratio")).alias("surprise"))
+    # Each event becomes many rows: they are made where events are spread, and come back to them once for all that is summed up by event.
+    by_event = [F.col(c) for c in (*key, "seq")]
+    vectors = projected(rows, id, features, params, fast).repartition(*by_event)
+    counted = decayed_counts(slots(vectors, id, params, fast), [*key, "slot", "bucket"], params.decay_half_life, last=events.count()).repartition(*by_event)
+    low = counted.groupBy(*id, F.floor(F.col("slot") / params.sketch_rows).cast("int").alias("__level")).agg(F.min("count").alias("count"))
+    ratio = F.element_at(F.array(*[F.lit(x.ratio) for x in layout(params)]), F.col("__level") + 1)
+    return low.select(*id, "__level", scoring.surprise(F.col("count"), reference_mass(F.col("seq"), params.decay_half_life), ratio).alias("surprise"))
+
+
+def level_surprises(events: DataFrame, order: list[str], features: str, params: SketchParams, key: tuple[str, ...] = (), fast: bool = False) -> DataFrame:
+    """order, key, seq, ensemble, chain, level, surprise of each event before it is counted."""
+    found = _surprises(events, order, features, params, key, fast)
+    names = F.array(*[F.struct(F.lit(x.ensemble).alias("ensemble"), F.lit(x.chain).alias("chain"), F.lit(x.level).alias("level")) for x in layout(params)])
+    return found.withColumn("__name", F.element_at(names, F.col("__level") + 1)).select(*key, *order, "seq", "__name.*", "surprise")
 
 
 def fit_score(events: DataFrame, order: list[str], features: str, params: SketchParams, key: tuple[str, ...] = (), fast: bool = False) -> DataFrame:
     """key, order, seq and score of each event of the ordered stream. order must be unique for each key."""
     id = [*key, *order, "seq"]
-    levels = level_surprises(events, order, features, params, key, fast)
-    chains = levels.groupBy(*id, "ensemble", "chain").agg(F.max("surprise").alias("surprise"))
+    levels = _surprises(events, order, features, params, key, fast)
+    # The layout has a chain's levels one after another.
+    chains = levels.groupBy(*id, F.floor(F.col("__level") / params.chain_depth).alias("__chain")).agg(F.max("surprise").alias("surprise"))
     # Both ensembles have as many chains, so the mean of the means is the mean of all.
     return chains.groupBy(*id).agg(F.avg("surprise").alias("score"))
 
@@ -177,7 +201,8 @@ class SketchModel:
 
     def score(self, queries: DataFrame, id: list[str], features: str, fast: bool = False) -> DataFrame:
         """id and score: surprise of each row against the model as it is."""
-        long = sketch_cells(bins(projected(queries, id, features, self.params, fast), id, self.params), self.params, fast)
+        vectors = projected(queries, id, features, self.params, fast).repartition(*[F.col(c) for c in id])
+        long = sketch_cells(bins(vectors, id, self.params), self.params, fast)
         cell = ["ensemble", "chain", "level", "hash_row", "bucket"]
         low = long.join(self.cells, cell, "left").fillna(0.0, ["count"]).groupBy(*id, "ensemble", "chain", "level", "ratio").agg(F.min("count").alias("count"))
         mass = reference_mass(F.lit(self.entries_seen + 1), self.params.decay_half_life)
@@ -189,7 +214,7 @@ def fit(events: DataFrame, order: list[str], features: str, params: SketchParams
     rows = numbered(events.select(*dict.fromkeys([*order, features])), order, "seq")
     id = [*order, "seq"]
     n = events.count()
-    long = sketch_cells(bins(projected(rows, id, features, params, fast), id, params), params, fast)
+    long = sketch_cells(bins(projected(rows, id, features, params, fast).repartition("seq"), id, params), params, fast)
     decayed = F.pow(F.lit(2.0), (F.col("seq") - n).cast("double") / F.lit(float(params.decay_half_life)))
     cells = long.groupBy("ensemble", "chain", "level", "hash_row", "bucket").agg(F.sum(decayed).alias("count"))
     return SketchModel(params, cells, n)
