@@ -34,10 +34,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
-    """As stored, and rows with the same key lie in the same of n buckets: grouped or joined by the key, the table isn't shuffled."""
+    """As stored, and rows with the same key lie in the same of n buckets: grouped or joined by the key, the table isn't shuffled.
+
+    The catalog has the table just until its files and buckets are known.
+    """
     spark, unique = df.sparkSession, uuid.uuid4().hex
     df.write.format("parquet").bucketBy(n, key).option("path", f"{shared_dir(spark)}/strayline-{unique}/{name}").saveAsTable(f"strayline_{unique}")
-    return spark.table(f"strayline_{unique}")
+    found = spark.table(f"strayline_{unique}")
+    spark.sql(f"DROP TABLE strayline_{unique}")
+    return found
 
 
 def give_back() -> None:
