@@ -58,7 +58,7 @@ KAPPA = 1.0
 #: Text of a block, which a task holds at once.
 BLOCK_BYTES = 14 << 20
 #: Training tokens of a part, if spread evenly.
-PART_TOKENS = 1_500_000
+PART_TOKENS = 3_000_000
 #: Training tokens of a context that is cut into slices.
 HOT = 4_000_000
 #: Tokens of a part whose contexts are looked at together, if spread evenly.
@@ -233,7 +233,7 @@ class Outbox:
         latest = [b[cold] for b in tokens.before[: max(2, level)]]
         part = latest[0] % self.n_parts if level == 1 else (mixed(latest[:level]) % np.uint64(self.n_parts)).astype(np.int32)
         if level == 1 and len(many := np.flatnonzero(of_context[cold] >= self.alone)):
-            # A word with a part's worth of tokens has one of its own.
+            # Their parts are beyond those of the others.
             part = part.astype(np.int64)
             part[many] = self.n_parts + latest[0][many].astype(np.int64)
         # Tokens that lie with their like take less room.
@@ -466,13 +466,14 @@ def advanced(table: pa.Table, unit: float, n_parts: int, alone: int, hot: int) -
 
 
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus: int = 5, remainder: int = 1, block_bytes: int = BLOCK_BYTES, part_tokens: int = PART_TOKENS, hot: int = HOT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. block_bytes, part_tokens and hot bound what a task holds and change no result."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. block_bytes, part_tokens and hot bound what a task holds and change no result; the larger they are, the fewer and fuller are the messages."""
     spark = docs.sparkSession
     blocks = bucketed(encoded(docs, id, text, modulus, remainder, block_bytes), "block", parts(spark), "blocks")
     numbers = stored(numbered(blocks, max(parts(spark), blocks.count() // OWNED)), "numbers")
     total, kinds, most = (x or 0 for x in numbers.agg(F.sum("tokens"), F.sum("kinds"), F.max("most")).first())
     unit, n_parts, hot = total + 0.5 * (kinds + 1), max(parts(spark), -(-total // part_tokens)), max(hot, LOW)
-    known = (unit, n_parts, part_tokens, hot)
+    # A word with a third of a part has a part of its own.
+    known = (unit, n_parts, max(1, part_tokens // 3), hot)
 
     def first(left: pa.Table, right: pa.Table) -> pa.Table:
         own, right = left.to_pylist()[0], right.sort_by("owner")
