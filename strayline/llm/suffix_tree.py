@@ -58,7 +58,7 @@ KAPPA = 1.0
 #: Text of a block, which a task holds at once.
 BLOCK_BYTES = 14 << 20
 #: Training tokens of a part, if spread evenly.
-PART_TOKENS = 3_000_000
+PART_TOKENS = 1_500_000
 #: Training tokens of a context that is cut into slices.
 HOT = 4_000_000
 #: Tokens of a part whose contexts are looked at together, if spread evenly.
@@ -472,8 +472,8 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus: int
     numbers = stored(numbered(blocks, max(parts(spark), blocks.count() // OWNED)), "numbers")
     total, kinds, most = (x or 0 for x in numbers.agg(F.sum("tokens"), F.sum("kinds"), F.max("most")).first())
     unit, n_parts, hot = total + 0.5 * (kinds + 1), max(parts(spark), -(-total // part_tokens)), max(hot, LOW)
-    # A word with a third of a part has a part of its own.
-    known = (unit, n_parts, max(1, part_tokens // 3), hot)
+    # A word with half a part has a part of its own.
+    known = (unit, n_parts, max(1, part_tokens // 2), hot)
 
     def first(left: pa.Table, right: pa.Table) -> pa.Table:
         own, right = left.to_pylist()[0], right.sort_by("owner")
