@@ -40,9 +40,9 @@ def slot_of(key: Column, depth: int) -> Column:
     return F.shiftrightunsigned(key, 64 - depth)
 
 
-def key_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+def key_counts(docs: DataFrame, text: str = "text", form=normalised) -> DataFrame:
     """Distinct keys with their rows."""
-    return docs.groupBy(F.xxhash64(normalised(F.col(text))).alias("key")).agg(F.count("*").alias("rows"))
+    return docs.groupBy(F.xxhash64(form(F.col(text))).alias("key")).agg(F.count("*").alias("rows"))
 
 
 def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
@@ -72,21 +72,21 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int
     return stored(slots.select("slot", "bucket", "local_depth"), "directory"), depth
 
 
-def annotate(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
-    """Every row of docs with the columns in ADDED, and the directory."""
+def annotate(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, form=normalised) -> tuple[DataFrame, DataFrame]:
+    """Every row of docs with the columns in ADDED, and the directory. form: makes equal texts the same string."""
     spark = docs.sparkSession
     if set(ADDED) & set(docs.columns):
         raise ValueError(f"docs has columns named as those added: {sorted(set(ADDED) & set(docs.columns))}")
-    keys = stored(key_counts(docs, text), "keys")
+    keys = stored(key_counts(docs, text, form), "keys")
     total = keys.agg(F.sum("rows")).first()[0] or 0
     slots, depth = directory(keys, capacity)
     n = max(1, min(parts(spark), 1 << depth))
     hot = keys.filter(F.col("rows") >= max(HOT_ROWS, -(-total // HOT_KEYS))).select("key", F.lit(True).alias("__hot"))
     owner = F.shiftright(slot_of(F.col("key"), depth) * n, depth).cast("int")
-    marked = docs.withColumn("key", F.xxhash64(normalised(F.col(text)))).join(F.broadcast(hot), "key", "left")
+    marked = docs.withColumn("key", F.xxhash64(form(F.col(text)))).join(F.broadcast(hot), "key", "left")
 
     cold = marked.filter(F.col("__hot").isNull()).withColumn("__owner", owner).repartitionById(n, F.col("__owner"))
-    cold = cold.withColumn("__bytes", normalised(F.col(text)))
+    cold = cold.withColumn("__bytes", form(F.col(text)))
     chain = Window.partitionBy("__owner", "key")
     group = Window.partitionBy("__owner", "key", "__bytes")
     first = F.col(id).asc_nulls_last()
@@ -100,10 +100,10 @@ def annotate(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity:
     )
 
     some = marked.filter(F.col("__hot"))
-    entries = some.groupBy("key", normalised(F.col(text)).alias("__bytes")).agg(F.min(id).alias("keep_id"), F.count("*").alias("group_size"))
+    entries = some.groupBy("key", form(F.col(text)).alias("__bytes")).agg(F.min(id).alias("keep_id"), F.count("*").alias("group_size"))
     entries = entries.select("key", F.sha2(F.col("__bytes").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
     entries = entries.withColumn("chain", F.row_number().over(Window.partitionBy("key").orderBy("text_sha256")))
-    warm = some.withColumn("text_sha256", F.sha2(normalised(F.col(text)).cast("binary"), 256)).join(F.broadcast(entries), ["key", "text_sha256"])
+    warm = some.withColumn("text_sha256", F.sha2(form(F.col(text)).cast("binary"), 256)).join(F.broadcast(entries), ["key", "text_sha256"])
     heads = warm.filter(F.col(id).eqNullSafe(F.col("keep_id")))
     heads = heads.withColumn("kept", F.row_number().over(Window.partitionBy("key", "text_sha256").orderBy(F.lit(1))) == 1)
     rest = warm.filter(~F.col(id).eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False))
@@ -115,7 +115,9 @@ def annotate(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity:
 
 def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The index's entries, one per row, as files in the shared folder: id, ADDED, and the bucket with its local depth."""
-    entries, slots = annotate(docs.select(id, text), id, text, capacity)
+    # Only the normal form goes on, so that it is made once for each row and not again behind the shuffle.
+    plain = docs.select(id, normalised(F.col(text)).alias(text))
+    entries, slots = annotate(plain, id, text, capacity, form=lambda c: c)
     return stored(entries.drop(text), "index").join(slots, "slot")
 
 
