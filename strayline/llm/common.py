@@ -39,9 +39,10 @@ def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     The catalog has the table just until its files and buckets are known.
     """
     spark, unique = df.sparkSession, uuid.uuid4().hex
-    df.write.format("parquet").bucketBy(n, key).option("path", f"{shared_dir(spark)}/strayline-{unique}/{name}").saveAsTable(f"strayline_{unique}")
-    found = spark.table(f"strayline_{unique}")
-    spark.sql(f"DROP TABLE strayline_{unique}")
+    table, n = f"spark_catalog.default.strayline_{unique}", min(n, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    df.write.format("parquet").bucketBy(n, key).option("path", f"{shared_dir(spark)}/strayline-{unique}/{name}").saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
     return found
 
 

@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from strayline.llm import suffix_tree
+from strayline.llm import common, suffix_tree
+from strayline.llm.common import bucketed
 from strayline.llm.packing import pack, pack_words, unpack, unpack_words
 
 from .conftest import edge_rows, sentences
@@ -105,8 +106,9 @@ def brute(corpus):
 
 # A block for all texts or for a few; no hot context, some, or all of them.
 @pytest.mark.parametrize("bounds", [{}, {"block_bytes": 600, "part_tokens": 200}, {"block_bytes": 600, "part_tokens": 200, "hot": 100}, {"block_bytes": 3000, "part_tokens": 50, "hot": 3}, {"hot": 1}])
-def test_texts_are_scored_by_the_tree(spark, corpus, brute, bounds):
+def test_texts_are_scored_by_the_tree(spark, corpus, brute, bounds, monkeypatch):
     """Whatever a task holds, parts together are the tree of the training texts; rows that repeat teach as often as they are there."""
+    monkeypatch.setattr(common, "BATCH_ROWS", 20)
     found = suffix_tree.score(spark.createDataFrame(corpus, "doc_id long, text string"), **bounds).collect()
     text = dict(corpus)
     assert sorted(r.doc_id for r in found) == sorted(i for i, _ in corpus)
@@ -143,6 +145,17 @@ def test_what_is_kept_does_not_shrink(spark, corpus):
         assert found[2000].score > 0.5 * found[2000].base_score
 
 
+def test_blocks_are_not_shuffled_again(spark, corpus, monkeypatch):
+    """Blocks lie where their groups are asked for, and the catalog is left as it was."""
+    monkeypatch.setattr(common, "BATCH_ROWS", 20)
+    before = {t.name for t in spark.catalog.listTables()}
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    blocks = bucketed(suffix_tree.encoded(docs, "doc_id", "text", 5, 1, 600), "block", 4, "blocks")
+    plan = blocks.groupBy("block").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert blocks.count() > 4 and {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_arrays_come_back():
     arrays = [np.array([], np.int64), np.array([5, 5, 5]), np.array([-3, 0, 2**40]), np.array([1.5, -2.25]), np.arange(300, dtype=np.int32), np.array([0.1], np.float32)]
     for a, b in zip(arrays, unpack(pack(*arrays))):
