@@ -297,10 +297,13 @@ def places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the position of one of each distinct key, in their order; of each key its place among them)."""
     order = np.argsort(key, kind="stable").astype(np.int32)
     risen = key[order]
-    new = np.r_[True, risen[1:] != risen[:-1]][: len(key)]
+    del key
+    new = np.r_[True, risen[1:] != risen[:-1]][: len(risen)]
     del risen
-    place = np.empty(len(key), np.int32)
-    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    number = np.cumsum(new, dtype=np.int32)
+    number -= 1
+    place = np.empty(len(order), np.int32)
+    place[order] = number
     return order[new], place
 
 
@@ -326,31 +329,32 @@ def token_scores(symbol: np.ndarray, before: list[np.ndarray], teach: np.ndarray
     del order
     for a, z in cuts:
         at = some[a:z]
-        context = np.zeros(len(at), np.int32)
-        for k in range(level):
-            key = context.astype(np.int64)
-            key <<= 42
-            key |= before[k][at]
-            context = places(key)[1]
-            del key
+        context = places(before[0][at])[1]
+        for k in range(1, level):
+            context = places(joined(context, before[k][at]))[1]
         at = one_level(at, context, symbol, teach, value)
         del context
         if level < DEPTH and len(at):
             token_scores(symbol, before, teach, value, level + 1, at, together)
 
 
+def joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One key of both. A word's number has up to 42 bits, and a place in a part 21 bits more; where there is one context, the word alone is the key."""
+    if not len(context) or not context.any():
+        return word
+    key = context.astype(np.int64)
+    key <<= 42
+    key |= word
+    return key
+
+
 def one_level(at: np.ndarray, context: np.ndarray, symbol: np.ndarray, teach: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Sets the values of the tokens at at by their contexts alone. Returns those whose context is a candidate: no longer one is more common than its suffix."""
     of_context = np.bincount(context[teach[at]], minlength=int(context.max()) + 1 if len(context) else 0)
     often = of_context[context] >= MIN_CONTEXT
     at, context = at[often], context[often]
     del often
-    # A number of a word has up to 42 bits, a place in a part fewer than 21 bits more.
-    key = context.astype(np.int64)
-    key <<= 42
-    key |= symbol[at] + LOW
-    first, entry = places(key)
-    del key
+    first, entry = places(joined(context, symbol[at] + LOW))
     n, place, own = np.bincount(entry[teach[at]], minlength=len(first)), context[first], symbol[at[first]]
     log_q = value[at[first]]
     q, kept, size = 10**log_q, (n >= MIN_JOINT) & (own >= 0), len(of_context)
