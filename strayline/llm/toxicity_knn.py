@@ -1,34 +1,35 @@
 """Toxicity by the nearest labelled examples.
 
 A term is a word or the first four or five letters of one. The vocabulary is the
-terms whose share of toxic texts among labelled texts with the term is above
+proven terms, those whose share of toxic texts among labelled texts with the term is above
 ``MIN_SHARE`` by the lower Wilson bound. Near copies of a text would prove any of its
 words, so near copies among the toxic texts count once: those whose MinHash signatures
 over all pairs of neighbouring words agree in a share of ``ALIKE``, and of texts with
 fewer than ``SHORT`` pairs those that agree in all. A beginning of words is left out where
-one word in the vocabulary stands for nearly all of it. Examples and texts are TF-IDF vectors over it,
-and the ``NEIGHBOURS`` nearest by cosine are found exactly with a block-max inverted
-index: postings lie in blocks of examples, a block's bound is the sum over a text's terms
-of the block's largest weight, blocks are opened from the highest bound down, and the
-rest is skipped once no bound reaches the last of the best so far. Neighbours vote with
-their similarity, and isotonic regression over the examples' own votes, each without
-itself, turns votes into calibrated scores. The ids of the nearest ones are the evidence.
-
-An index of all terms finds fewer toxic texts (README): few insults in a long text weigh
-little beside its other words. Examples with none of the terms are found by the texts that
-equal them but for case and spaces, at a similarity of 1; the score is the toxic share of
-these, with half a row of either label added.
+one word in the vocabulary stands for nearly all of it. All other words of the examples are
+indexed too. Examples and texts are TF-IDF vectors over proven terms and words, where words
+that aren't proven weigh less (``worth``) but never nothing, and the ``NEIGHBOURS`` nearest
+by cosine are found exactly with a block-max inverted index: postings lie in blocks of
+examples, a block's bound is the sum over a text's rare terms of the block's largest weight
+and the most that frequent terms, summed for all examples, give in it. The blocks with the
+highest bounds are opened first, and of the rest those whose bound reaches the last of the
+best so far. Neighbours vote with their similarity, and isotonic regression over the
+examples' own votes, each without itself, turns votes into calibrated scores. The ids of
+the nearest ones are the evidence.
+
+Texts without a proven term that equal examples but for case and spaces have these as their
+neighbours; the score is the toxic share of these, with half a row of either label added.
 
 Examples are at most ``MAX_LABELLED`` labelled rows that are not held out, those with
-the smallest hash of their id. Other texts with none of the terms, null and empty ones too, get
-the share of toxic examples that have none either. Without labels every score is 0.
+the smallest hash of their id. Texts with no word of an example, null and empty ones too, get
+the share of toxic examples among those without a proven term. Without labels every score is 0.
 Equal similarities go to the example that comes first by id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,18 @@ MAX_LABELLED = 20_000
 MIN_TEXTS = 4
 MIN_SHARE = 0.6
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 8
+FIRST = 8
+#: Terms that more than one in so many examples have are a matrix, the most frequent ones; texts are multiplied with it so many at once.
+OFTEN = 16
+MATRIX = 256
+TOGETHER = 64
+#: Postings of a term that are read block by block; more are added at once.
+LONG = 64
+#: What a rare word without any toxic text counts beside a proven one.
+NEUTRAL = 0.01
+#: Similarity that the share of toxic examples without a proven term counts as in a vote.
+PRIOR = 0.5
 EVIDENCE = 3
 #: Minima of a text's signature, and how many of them a band of it has.
 SKETCH = 32
@@ -97,13 +109,30 @@ def present_terms(rows: DataFrame) -> DataFrame:
     return rows.select("text", "label").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def vectors(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, times) of the vocabulary's terms in each text, sorted by text and term."""
+def places(of: pa.Array, vocabulary: pa.Array) -> np.ndarray:
+    """The place of each in the vocabulary, or -1. The smaller side is hashed."""
+    own = of.dictionary_encode()
+    at = np.full(len(own.dictionary) + 1, -1, np.int64)
+    if len(vocabulary) > len(own.dictionary):
+        which = pc.index_in(vocabulary, value_set=own.dictionary)
+        there = np.flatnonzero(which.is_valid())
+        at[which.drop_null().to_numpy(zero_copy_only=False)] = there
+    else:
+        at[:-1] = pc.fill_null(pc.index_in(own.dictionary, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+    return at[pc.fill_null(own.indices, -1).to_numpy(zero_copy_only=False)]
+
+
+def vectors(texts: pa.Array, vocabulary: pa.Array, others: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, times) of the terms in each text, sorted by text and term: the vocabulary's, and behind them the other words."""
     codes, offsets, known = words(texts)
-    text, width = owners(offsets), max(1, len(vocabulary))
+    text, width = owners(offsets), max(1, len(vocabulary) + len(others if others is not None else ()))
     found = []
-    for t in terms_of(known):
-        at = pc.fill_null(pc.index_in(t, value_set=vocabulary, skip_nulls=True), -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+    for i, t in enumerate(terms_of(known)):
+        at = places(t, vocabulary)
+        if i == 0 and others is not None:
+            rest = places(t, others)
+            at = np.where(at < 0, np.where(rest < 0, -1, rest + len(vocabulary)), at)
+        at = at[codes]
         found.append((text * width + at)[at >= 0])
     keys, times = np.unique(np.concatenate(found), return_counts=True)
     return keys // width, keys % width, times
@@ -186,66 +215,142 @@ def proven(rows: DataFrame, terms: list[str], clean: np.ndarray) -> list[str]:
     return [terms[t] for t in good if terms[t].startswith("w:") or of_word.get(terms[t][2:], 0) < SAME * len(texts[t])]
 
 
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+
+
+def worth(toxic: np.ndarray, clean: np.ndarray, idf: np.ndarray, base: float) -> np.ndarray:
+    """What words count in a vector, up to 1 where the share of toxic texts is proven: how far its lower bound is above the base share. Never 0."""
+    n = np.maximum(1, toxic + clean)
+    lift = np.clip((wilson_low(toxic / n, n) - base) / (MIN_SHARE - base), 0, 1)
+    return np.maximum(NEUTRAL * (idf / (1 + np.log(1e6))) ** 2, lift**3)
+
+
 @dataclass
 class Index:
-    """Examples' unit vectors as postings by block and term."""
+    """Examples' unit vectors as postings by term and block of examples; the most frequent terms are a matrix.
+
+    Terms are those of the vocabulary, and behind them the other words.
+    """
 
     vocabulary: pa.Array
+    others: pa.Array
     idf: np.ndarray
+    worth: np.ndarray
     ids: list
     labels: np.ndarray
-    start: np.ndarray
-    example: np.ndarray
-    weight: np.ndarray
-    block_max: np.ndarray
     bare: float
-    #: Of the examples with none of the terms, by text_key: their ids and labels.
+    #: Of the examples with none of the vocabulary's terms, by text_key: their ids and labels.
     copies: dict[int, list[tuple]]
+    #: Postings by term, and where a term's begin. Weights have 32 bits; their sums have 64.
+    begin: np.ndarray
+    example: np.ndarray
+    weight: np.ndarray
     knots: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
 
     @classmethod
-    def of(cls, vocabulary: pa.Array, idf: np.ndarray, ids: list, labels: np.ndarray, example: np.ndarray, term: np.ndarray, weight: np.ndarray, bare: float, copies: dict[int, list[tuple]]) -> Index:
-        n_blocks, width = -(-len(ids) // BLOCK), len(vocabulary)
-        block = example // BLOCK
-        order = np.lexsort((example, term, block))
-        place = (block * width + term)[order]
-        start = np.searchsorted(place, np.arange(n_blocks * width + 1))
-        top = np.zeros(n_blocks * width)
-        np.maximum.at(top, place, weight[order])
-        return cls(vocabulary, idf, ids, labels, start, example[order], weight[order], top.reshape(n_blocks, width), bare, copies)
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def of(cls, vocabulary: pa.Array, idf: np.ndarray, ids: list, labels: np.ndarray, example: np.ndarray, term: np.ndarray, weight: np.ndarray, bare: float, copies: dict[int, list[tuple]], others: pa.Array | None = None, worth: np.ndarray | None = None) -> Index:
+        """From postings sorted by example."""
+        others = pa.array([], pa.string()) if others is None else others
+        width = len(vocabulary) + len(others)
+        begin = np.r_[0, np.cumsum(np.bincount(term, minlength=width))].astype(np.int32)
+        order = np.argsort(term, kind="stable")
+        example, weight = example[order].astype(np.int32, copy=False), weight[order].astype(np.float32, copy=False)
+        return cls(vocabulary, others, idf, np.ones(width) if worth is None else worth, ids, labels, bare, copies, begin, example, weight)
+
+    def __post_init__(self) -> None:
+        # Of each term its row in the matrix, or -1; the matrix has a column for each example.
+        n, held = len(self.ids), np.diff(self.begin)
+        frequent = np.argsort(-held, kind="stable")[:MATRIX]
+        frequent = frequent[held[frequent] > n // OFTEN]
+        self.often = np.full(len(held), -1, np.int32)
+        self.often[frequent] = np.arange(len(frequent))
+        self.matrix = np.zeros((len(frequent), n))
+        for row, t in enumerate(frequent.tolist()):
+            own = slice(self.begin[t], self.begin[t + 1])
+            self.matrix[row, self.example[own]] = self.weight[own]
+        # Of each term its cells, a cell for each block that has it; of each cell its block, largest weight and postings.
+        block = self.example // BLOCK
+        new = np.r_[True, block[1:] != block[:-1]] if len(block) else np.zeros(0, bool)
+        starts = self.begin[:-1][held > 0]
+        new[starts] = True
+        self.start = np.r_[np.flatnonzero(new), len(block)].astype(np.int32)
+        self.cells = np.searchsorted(self.start[:-1], self.begin).astype(np.int32)
+        self.block = block[self.start[:-1]]
+        self.top = np.maximum.reduceat(self.weight, self.start[:-1]) if len(block) else np.zeros(0)
+
+    def __getstate__(self) -> dict:
+        kind = np.uint16 if len(self.ids) < 1 << 16 else np.int32
+        own = {f.name: getattr(self, f.name) for f in fields(self)}
+        return own | {"example": self.example.astype(kind)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"example": state["example"].astype(np.int32)})
+        self.__post_init__()
+
+    def all_nearest(self, cut: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector, from a cut to the next, (examples, similarities) of the k nearest with a similarity above 0; without: the vectors are the examples."""
+        for low in range(0, len(cut) - 1, TOGETHER):
+            high = min(low + TOGETHER, len(cut) - 1)
+            asked = np.zeros((high - low, len(self.matrix)))
+            of, own = np.repeat(np.arange(high - low), np.diff(cut[low : high + 1])), slice(cut[low], cut[high])
+            row = self.often[term[own]]
+            asked[of[row >= 0], row[row >= 0]] = weight[own][row >= 0]
+            sums = asked @ self.matrix
+            for i in range(low, high):
+                t, w = term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]]
+                rare = self.often[t] < 0
+                yield self._nearest(t[rare], w[rare], sums[i - low], k, i if without else -1)
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(examples, similarities) of the k nearest with a similarity above 0."""
-        bound = self.block_max[:, term] @ weight
-        width = self.block_max.shape[1]
-        best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best_s) == k and bound[b] < best_s[-1] - 1e-12):
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(term, weight):
-                a, z = self.start[b * width + t], self.start[b * width + t + 1]
-                if z > a:
-                    sums[self.example[a:z] - b * BLOCK] += w * self.weight[a:z]
-            hit = np.flatnonzero(sums > 0)
-            hit = hit[hit + b * BLOCK != without]
-            e, s = np.r_[best_e, hit + b * BLOCK], np.r_[best_s, sums[hit]]
-            order = np.lexsort((e, -np.round(s, 12)))[:k]
-            best_e, best_s = e[order], s[order]
+        return next(self.all_nearest(np.array([0, len(term)]), term, weight, k))
+
+    def _nearest(self, term: np.ndarray, weight: np.ndarray, sums: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        # sums: what the matrix's terms give; long lists of postings are added to it whole.
+        n = len(sums)
+        low, high = self.start[self.cells[term]], self.start[self.cells[term + 1]]
+        short = high - low <= LONG
+        for a, b, w in zip(low[~short].tolist(), high[~short].tolist(), weight[~short]):
+            sums[self.example[a:b]] += w * self.weight[a:b]
+        term, weight = term[short], weight[short]
+        size = self.cells[term + 1] - self.cells[term]
+        cell = spans(self.cells[term], size)
+        of, block = np.repeat(weight, size), self.block[cell]
+        n_blocks = -(-n // BLOCK)
+        bound = np.bincount(block, of * self.top[cell], minlength=n_blocks) + np.maximum.reduceat(sums, np.arange(0, n, BLOCK))
+        best_e, best_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        # The blocks with the highest bounds first: few of the others can have one of the best then.
+        first = np.zeros(n_blocks, bool)
+        first[np.argpartition(-bound, FIRST)[:FIRST] if n_blocks > FIRST else slice(None)] = True
+        for part in (first, ~first):
+            opened = part & (bound > 0) & (bound >= least)
+            own = np.flatnonzero(opened[block])
+            size = self.start[cell[own] + 1] - self.start[cell[own]]
+            at = spans(self.start[cell[own]], size)
+            e = (np.flatnonzero(opened)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            e = e[(e < n) & (e != without)]
+            s = (np.bincount(self.example[at], np.repeat(of[own], size) * self.weight[at], minlength=n) + sums)[e]
+            s, e = s[(s > 0) & (s >= least)], e[(s > 0) & (s >= least)]
+            if len(s) > k:
+                top = s >= np.partition(s, -k)[-k] - 1e-11
+                s, e = s[top], e[top]
+            e, s = np.r_[best_e, e], np.r_[best_s, s]
+            keep = np.lexsort((e, -np.round(s, 12)))[:k]
+            best_e, best_s = e[keep], s[keep]
+            least = best_s[-1] - 1e-11 if len(best_s) == k else 0.0
         return best_e, best_s
 
     def vote(self, example: np.ndarray, similarity: np.ndarray) -> float:
-        return float((similarity * self.labels[example]).sum() / similarity.sum()) if len(example) else self.bare
-
-    def calibrate(self) -> None:
-        """Isotonic regression of the labels on each example's vote without itself."""
-        order = np.argsort(self.example, kind="stable")
-        width = self.block_max.shape[1]
-        place = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start)) % width
-        e, t, w = self.example[order], place[order], self.weight[order]
-        cut = np.searchsorted(e, np.arange(len(self.ids) + 1))
-        votes = np.array([self.vote(*self.nearest(t[a:b], w[a:b], without=i)) for i, (a, b) in enumerate(zip(cut, cut[1:]))])
-        self.knots = isotonic(votes, self.labels.astype(float))
+        return float(((similarity * self.labels[example]).sum() + PRIOR * self.bare) / (similarity.sum() + PRIOR))
+
+    def calibrate(self, cut: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        """Isotonic regression of the labels on each example's vote without itself; its vector weighs terms as the other examples do."""
+        votes = np.array([self.vote(*found) if len(found[0]) else np.nan for found in self.all_nearest(cut, term, weight, without=True)])
+        some = ~np.isnan(votes)
+        self.knots = isotonic(votes[some], self.labels[some].astype(float))
 
     def score(self, vote: float) -> float:
         x, y = self.knots
@@ -269,41 +374,82 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, most: int = MAX_LABELLED) -> Index | None:
     small_batches(docs.sparkSession)
     rows = labelled(docs, labels, "toxic", modulus, remainder, most).select("text", "label", "doc_id")
-    found = present_terms(rows).filter(F.col("toxic") >= MIN_TEXTS)
     n = F.col("toxic") + F.col("clean")
-    found = found.filter(wilson_low(F.col("toxic") / n, n, F.sqrt) >= MIN_SHARE).orderBy(F.desc("toxic"), "term").toPandas()
-    vocabulary = pa.array(proven(rows, found["term"].tolist(), found["clean"].to_numpy(float)), pa.string())
-    spec = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    likely = (F.col("toxic") >= MIN_TEXTS) & (wilson_low(F.col("toxic") / n, n, F.sqrt) >= MIN_SHARE)
+    known = present_terms(rows).select("term", "clean", likely.alias("likely"), F.col("toxic")).filter(F.col("likely") | F.col("term").startswith("w:")).toArrow()
+    found = known.filter(known["likely"]).sort_by([("toxic", "descending"), ("term", "ascending")])
+    vocabulary = pa.array(proven(rows, found["term"].to_pylist(), found["clean"].to_numpy().astype(float)), pa.string())
+    others = known.filter(pc.and_(pc.starts_with(known["term"], "w:"), pc.invert(pc.is_in(known["term"], value_set=vocabulary))))["term"]
+    others = pa.concat_arrays(others.chunks) if others.num_chunks else pa.array([], pa.string())
+    others = others.take(pc.sort_indices(others))
+    del known, found
+    spec = docs.sparkSession.sparkContext.broadcast((vocabulary, others))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, term, times = vectors(batch.column(0), spec.value)
+            text, term, times = vectors(batch.column(0), *spec.value)
             cut = np.searchsorted(text, np.arange(len(batch) + 1))
-            part = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x.astype(np.int64)))
-            bare = np.diff(cut) == 0
+            part = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x.astype(np.int32)))
+            bare = np.bincount(text, term < len(spec.value[0]), len(batch)) == 0
             key = [(text_key(t.as_py()) if b else 0) - (1 << 63) for t, b in zip(batch.column(0), bare)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1).cast(pa.int32()), part(term), part(times), pa.array(key, pa.int64())], ["doc_id", "label", "terms", "times", "key"])
+            label, (minima, pairs) = batch.column(1).cast(pa.int32()), sketch(batch.column(0))
+            marks = pa.array([m if y == 1 else [] for m, y in zip(minima.view(np.int64), label.to_pylist())], pa.list_(pa.int64()))
+            own = [batch.column(2), label, part(term), part(times), pa.array(key, pa.int64()), pa.array(bare), marks, pa.array(pairs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", "label", "terms", "times", "key", "bare", "marks", "pairs"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    examples = rows.mapInArrow(run, f"doc_id {kind}, label int, terms array<long>, times array<long>, key long").orderBy("doc_id").toPandas()
+    examples = rows.mapInArrow(run, f"doc_id {kind}, label int, terms array<int>, times array<int>, key long, bare boolean, marks array<long>, pairs long").orderBy("doc_id").toArrow().combine_chunks()
     if not len(examples):
         return None
-    size = examples["terms"].map(len).to_numpy()
-    label = examples["label"].to_numpy()
-    bare = float((label[size == 0].sum() + 0.5) / ((size == 0).sum() + 1)) if (size == 0).any() else float(label.mean())
-    some, none = examples[size > 0], examples[size == 0]
+    column = {c: pa.concat_arrays(examples[c].chunks) for c in examples.column_names}
+    del examples
+    label, without, ids = column["label"].to_numpy().astype(np.int64), column["bare"].to_numpy(zero_copy_only=False), column["doc_id"].to_pylist()
+    bare = float((label[without].sum() + 0.5) / (without.sum() + 1)) if without.any() else float(label.mean())
     copies: dict[int, list[tuple]] = {}
-    for key, own, toxic in zip(none["key"], none["doc_id"].tolist(), none["label"].tolist()):
-        copies.setdefault(int(key) + (1 << 63), []).append((own, toxic))
+    for i in np.flatnonzero(without):
+        copies.setdefault(column["key"][i].as_py() + (1 << 63), []).append((ids[i], int(label[i])))
     copies.pop(0, None)
-    example = np.repeat(np.arange(len(some)), size[size > 0])
-    term = np.concatenate([*some["terms"], np.zeros(0, np.int64)]).astype(np.int64)
-    times = np.concatenate([*some["times"], np.zeros(0)])
-    idf = np.log((len(examples) + 1) / (np.bincount(term, minlength=len(vocabulary)) + 1)) + 1
-    weight = (1 + np.log(np.maximum(1, times))) * idf[term]
-    norm = np.sqrt(np.bincount(example, weight**2, len(some)))
-    index = Index.of(vocabulary, idf, some["doc_id"].tolist(), label[size > 0], example, term, weight / norm[example], bare, copies)
-    index.calibrate()
+    cut = np.r_[0, np.cumsum(pc.list_value_length(column["terms"]).to_numpy())]
+    example = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(cut))
+    term, times = (column[c].flatten().to_numpy() for c in ("terms", "times"))
+    width, is_toxic = len(vocabulary) + len(others), label == 1
+    # Near copies among the toxic texts count once.
+    group = np.full(len(ids), -1)
+    group[is_toxic] = near_copies(column["marks"].flatten().to_numpy().reshape(-1, SKETCH), column["pairs"].to_numpy()[is_toxic])
+    bad = is_toxic[example]
+    toxic = np.bincount(np.unique(group[example[bad]] * width + term[bad]) % max(1, width), minlength=width).astype(float)
+    clean = np.bincount(term[~bad], minlength=width).astype(float)
+    n_groups = len(np.unique(group[is_toxic]))
+    base = min(MIN_SHARE / 2, n_groups / max(1, n_groups + (~is_toxic).sum()))
+    idf = np.log((len(ids) + 1) / (np.bincount(term, minlength=width) + 1)) + 1
+    counts = np.where(np.arange(width) < len(vocabulary), 1.0, worth(toxic, clean, idf, base))
+    # One number of 32 bits for each posting at a time: the driver holds all examples.
+    plain = (1 + np.log(np.maximum(1, np.arange(times.max() + 1 if len(times) else 1)))).astype(np.float32)[times]
+    plain *= idf.astype(np.float32)[term]
+    counts32, some = counts.astype(np.float32), np.diff(cut) > 0
+
+    def norms(of: np.ndarray) -> np.ndarray:
+        out = np.ones(len(ids), np.float32)
+        if some.any():
+            out[some] = np.sqrt(np.add.reduceat(of * of, cut[:-1][some], dtype=float))
+        return out
+
+    weight = plain * counts32[term]
+    weight /= norms(weight)[example]
+    index = Index.of(vocabulary, idf, ids, label, example, term, weight, bare, copies, others, counts)
+    # An example's own label must not weigh the terms that it is asked with.
+    alone = np.bincount(group[is_toxic], minlength=len(ids) + 1)[group] == 1
+    known = np.arange(width) < len(vocabulary)
+    if_clean, if_toxic = (np.where(known, 1.0, worth(np.maximum(0, toxic - a), np.maximum(0, clean - b), idf, base)) for a, b in ((0, 1), (1, 0)))
+    weight = if_clean.astype(np.float32)[term]
+    weight[bad] = np.where(alone[example[bad]], if_toxic[term[bad]], counts[term[bad]])
+    norm = norms(plain * weight)
+    weight *= weight
+    weight *= plain
+    weight /= counts32[term]
+    weight /= norm[example]
+    del plain, example, bad, times, column
+    index.calibrate(cut, term, weight)
     return index
 
 
@@ -316,21 +462,20 @@ def score(docs: DataFrame, index: Index | None, id: str = "doc_id", text: str =
         for batch in batches:
             value = np.full(len(batch), own.bare if own else 0.0)
             evidence: list[list] = [[]] * len(batch)
-            cut = np.zeros(len(batch) + 1, np.int64)
-            if own is not None and len(own.vocabulary):
-                at, term, times = vectors(batch.column(1), own.vocabulary)
-                weight = (1 + np.log(np.maximum(1, times))) * own.idf[term]
+            if own is not None:
+                at, term, times = vectors(batch.column(1), own.vocabulary, own.others)
+                weight = (1 + np.log(np.maximum(1, times))) * own.idf[term] * own.worth[term]
                 cut = np.searchsorted(at, np.arange(len(batch) + 1))
-                for i in np.flatnonzero(np.diff(cut)):
-                    w = weight[cut[i] : cut[i + 1]]
-                    near, similarity = own.nearest(term[cut[i] : cut[i + 1]], w / np.sqrt((w * w).sum()))
-                    value[i] = own.score(own.vote(near, similarity))
-                    evidence[i] = [own.ids[e] for e in near[:EVIDENCE]]
-            for i in np.flatnonzero(np.diff(cut) == 0) if own is not None and own.copies else ():
-                if same := own.copies.get(text_key(batch.column(1)[i].as_py())):
-                    toxic = sum(label for _, label in same)
-                    value[i] = (toxic + 0.5) / (len(same) + 1) if toxic else min(own.bare, 0.5 / (len(same) + 1))
-                    evidence[i] = [e for e, _ in same[:EVIDENCE]]
+                weight /= np.sqrt(np.bincount(at, weight**2, len(batch)))[at]
+                for i, (near, similarity) in enumerate(own.all_nearest(cut, term, weight)):
+                    if len(near):
+                        value[i] = own.score(own.vote(near, similarity))
+                        evidence[i] = [own.ids[e] for e in near[:EVIDENCE]]
+                for i in np.flatnonzero(np.bincount(at, term < len(own.vocabulary), len(batch)) == 0) if own.copies else ():
+                    if same := own.copies.get(text_key(batch.column(1)[i].as_py())):
+                        toxic = sum(label for _, label in same)
+                        value[i] = (toxic + 0.5) / (len(same) + 1) if toxic else min(own.bare, 0.5 / (len(same) + 1))
+                        evidence[i] = [e for e, _ in same[:EVIDENCE]]
             ids = pa.array(evidence, pa.list_(batch.schema.field(0).type))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value), ids], ["doc_id", "score", "evidence"])
 

@@ -231,6 +231,39 @@ def test_rare_insults_are_found_in_copies(spark):
     assert all(found[i].score < toxicity_knn.THRESHOLD for i in (2, 3, 4)) and found[4].evidence == [200]
 
 
+def test_insults_of_few_examples_are_searched(spark):
+    """Words that five toxic texts have prove nothing, but texts with them have these examples as their nearest."""
+    rows = [(i, f"some of these words {chr(97 + i % 26)}o{i} dolt", 1) for i in range(30)] + [(100 + i, f"some of these words {chr(97 + i)}u{i} nincompoop", 1) for i in range(5)] + [(200 + i, f"some of these words {chr(97 + i % 26)}a{i}", 0) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    index = toxicity_knn.fit(docs, labels, modulus=1000, remainder=999)
+    assert "w:nincompoop" not in index.vocabulary.to_pylist()
+    asked = spark.createDataFrame([(1, "another nincompoop here"), (2, "some of these words"), (3, "words za25 ya24"), (4, "unseen")], "doc_id long, text string")
+    found = {r.doc_id: r for r in toxicity_knn.score(asked, index).collect()}
+    assert found[1].score >= toxicity_knn.THRESHOLD and set(found[1].evidence) <= set(range(100, 105))
+    assert found[2].score < toxicity_knn.THRESHOLD and len(found[2].evidence) == toxicity_knn.EVIDENCE
+    assert found[3].score < toxicity_knn.THRESHOLD and set(found[3].evidence[:2]) == {224, 225}
+    assert found[4].score < toxicity_knn.THRESHOLD and found[4].evidence == []
+
+
+@pytest.mark.parametrize("long", [0, 5, 64])
+def test_lists_of_any_length_give_the_nearest(monkeypatch, long):
+    r = np.random.default_rng(5)
+    monkeypatch.setattr(toxicity_knn, "LONG", long)
+    monkeypatch.setattr(toxicity_knn, "MATRIX", 4)
+    dense = r.random((700, 60)) * (r.random((700, 60)) < r.random(60) ** 3)
+    dense /= np.maximum(1e-9, np.linalg.norm(dense, axis=1, keepdims=True))
+    example, term = np.nonzero(dense)
+    index = toxicity_knn.Index.of(pa.array([f"w:{i}" for i in range(60)]), np.ones(60), list(range(700)), r.integers(0, 2, 700), example, term, dense[example, term], 0.1, {})
+    cut = np.searchsorted(example, np.arange(701))
+    for i, (e, s) in enumerate(index.all_nearest(cut, term, dense[example, term], 10, without=True)):
+        all_ = dense @ dense[i]
+        all_[i] = 0
+        best = np.lexsort((np.arange(700), -np.round(all_, 12)))
+        best = best[all_[best] > 0][:10]
+        assert np.allclose(s, all_[best]) and len(e) == len(best) and i not in e
+
+
 def test_prior_and_risk_on_made_up_texts():
     r = np.random.default_rng(3)
     good = lambda n: np.column_stack([r.normal(2, 1, n), r.normal(0, 1, n)])
