@@ -9,11 +9,12 @@ fewer than ``SHORT`` pairs those that agree in all. A beginning of words is left
 one word in the vocabulary stands for nearly all of it. All other words of the examples are
 indexed too. Examples and texts are TF-IDF vectors over proven terms and words, where words
 that aren't proven weigh less (``worth``) but never nothing, and the ``NEIGHBOURS`` nearest
-by cosine are found exactly with a block-max inverted index: postings lie in blocks of
-examples, a block's bound is the sum over a text's rare terms of the block's largest weight
-and the most that frequent terms, summed for all examples, give in it. The blocks with the
-highest bounds are opened first, and of the rest those whose bound reaches the last of the
-best so far. Neighbours vote with their similarity, and isotonic regression over the
+by cosine are found exactly with an inverted index and bounds: terms of few examples have
+lists of postings, which are summed, and of the other terms an example's norms by groups of
+terms are known, whose products with a text's norms are the most these terms can give. The
+examples whose bounds are as high as the highest maxima of blocks are compared first, and of
+the rest those whose bound reaches the last of the best so far. Votes are the workers' work;
+the driver holds the examples packed. Neighbours vote with their similarity, and isotonic regression over the
 examples' own votes, each without itself, turns votes into calibrated scores. The ids of
 the nearest ones are the evidence.
 
@@ -35,24 +36,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, owners, small_batches, words
+from .common import fold, give_back, owners, small_batches, words
 from .decision_list import labelled
+from .packing import pack, unpack
 
 MAX_LABELLED = 20_000
 MIN_TEXTS = 4
 MIN_SHARE = 0.6
 NEIGHBOURS = 15
 BLOCK = 8
-FIRST = 8
-#: Terms that more than one in so many examples have are a matrix, the most frequent ones; texts are multiplied with it so many at once.
-OFTEN = 16
+#: Examples with bounds as high as the highest of so many blocks are compared first.
+FIRST = 16
+#: Terms with more postings than this have rows in a matrix, so many of them alone and the others together; texts are multiplied with it so many at once.
+LONG = 512
 MATRIX = 256
+ALONE = 192
 TOGETHER = 64
-#: Postings of a term that are read block by block; more are added at once.
-LONG = 64
+#: Bounds are sums in 32 bits.
+ROUNDING = 1.0001
 #: What a rare word without any toxic text counts beside a proven one.
 NEUTRAL = 0.01
 #: Similarity that the share of toxic examples without a proven term counts as in a vote.
@@ -228,9 +233,93 @@ def worth(toxic: np.ndarray, clean: np.ndarray, idf: np.ndarray, base: float) ->
     return np.maximum(NEUTRAL * (idf / (1 + np.log(1e6))) ** 2, lift**3)
 
 
+class Search:
+    """Unit vectors of examples, and exact search for the nearest of them.
+
+    Terms of few examples are lists of postings; each of the others belongs to a row of a
+    matrix, which has for each example the norm of its weights in the row's terms. A vector's
+    sum over the lists and the product of its norms with the rows bound its similarities;
+    where an example is compared, the other terms' weights take the product's place.
+    """
+
+    def __init__(self, cut: np.ndarray, term: np.ndarray, weight: np.ndarray, width: int, ahead: int) -> None:
+        """Vectors lie from a cut to the next, each sorted by term; of the terms those ahead of the others have rows of their own first."""
+        n = len(cut) - 1
+        # Weights have 32 bits; their sums have 64.
+        weight = weight.astype(np.float32, copy=False)
+        self.dense = np.zeros(width)
+        held = np.bincount(term, minlength=width)
+        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(cut))
+        long = np.flatnonzero(held > LONG)
+        long = long[np.lexsort((-held[long], long >= ahead))]
+        single, shared = min(len(long), ALONE, MATRIX - 1), max(1, MATRIX - ALONE)
+        self.row = np.full(width, -1, np.int32)
+        self.row[long[:single]] = np.arange(single)
+        self.row[long[single:]] = single + np.arange(len(long) - single) % shared
+        self.n_rows = int(self.row.max(initial=-1)) + 1
+        row = self.row[term]
+        at = np.flatnonzero(row >= 0)
+        # By example what the rows bound.
+        self.cut, self.term, self.weight = np.r_[0, np.cumsum(np.bincount(example[at], minlength=n))], term[at].astype(np.int32), weight[at]
+        cells = np.bincount(row[at].astype(np.int64) * n + example[at], np.square(self.weight, dtype=float), minlength=self.n_rows * n)
+        self.rows = np.sqrt(cells).astype(np.float32).reshape(self.n_rows, n)
+        del cells
+        at = np.flatnonzero(row < 0)
+        at = at[np.argsort(term[at].astype(np.int64) * n + example[at])]
+        self.begin = np.r_[0, np.cumsum(np.where(held > LONG, 0, held))]
+        self.example, self.value = example[at], weight[at]
+
+    def all_nearest(self, cut: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, own: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As Index.all_nearest; own: the number of the example that the first vector is of, or -1."""
+        for low in range(0, len(cut) - 1, TOGETHER):
+            high = min(low + TOGETHER, len(cut) - 1)
+            of, part = np.repeat(np.arange(high - low), np.diff(cut[low : high + 1])), slice(cut[low], cut[high])
+            row = self.row[term[part]]
+            some = row >= 0
+            asked = np.bincount(of[some] * self.n_rows + row[some], np.square(weight[part][some], dtype=float), minlength=(high - low) * self.n_rows)
+            most = np.sqrt(asked).astype(np.float32).reshape(high - low, self.n_rows) @ self.rows
+            for i in range(low, high):
+                one = slice(cut[i], cut[i + 1])
+                yield self._nearest(term[one], weight[one], row[cut[i] - cut[low] : cut[i + 1] - cut[low]] < 0, most[i - low], k, own + i if own >= 0 else -1)
+
+    def _nearest(self, term: np.ndarray, weight: np.ndarray, short: np.ndarray, bound: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        # bound: the most that the rows' terms give.
+        n, t = len(bound), term[short]
+        size = self.begin[t + 1] - self.begin[t]
+        at = spans(self.begin[t], size)
+        sums = np.bincount(self.example[at], np.repeat(weight[short], size) * self.value[at], minlength=n)
+        bound = (bound + sums) * ROUNDING
+        if without >= 0:
+            bound[without] = 0
+        best_e, best_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        # The highest bounds first: few of the others can be among the best then.
+        tops = bound[: n - n % BLOCK].reshape(BLOCK, -1).max(axis=0)
+        enough = np.partition(tops, -FIRST)[-FIRST] if len(tops) > FIRST else 0.0
+        first = np.flatnonzero((bound >= enough) & (bound > 0))
+        rest, step = None, 2 * FIRST
+        t = term[~short]
+        self.dense[t] = weight[~short]
+        while len(first):
+            size = self.cut[first + 1] - self.cut[first]
+            at = spans(self.cut[first], size)
+            s = sums[first] + np.bincount(np.repeat(np.arange(len(first)), size), self.dense[self.term[at]] * self.weight[at], minlength=len(first))
+            e = np.r_[best_e, first[s > 0]]
+            s = np.r_[best_s, s[s > 0]]
+            keep = np.lexsort((e, -np.round(s, 12)))[:k]
+            best_e, best_s = e[keep], s[keep]
+            least = best_s[-1] - 1e-11 if len(best_s) == k else 0.0
+            if rest is None:
+                rest = np.flatnonzero((bound >= least) & (bound > 0) & (bound < enough))
+                rest = rest[np.argsort(-bound[rest])]
+            first, rest, step = rest[:step], rest[step:], 2 * step
+            first = first[bound[first] >= least]
+        self.dense[t] = 0
+        return best_e, best_s
+
+
 @dataclass
 class Index:
-    """Examples' unit vectors as postings by term and block of examples; the most frequent terms are a matrix.
+    """Examples' unit vectors, packed until they are searched.
 
     Terms are those of the vocabulary, and behind them the other words.
     """
@@ -244,125 +333,118 @@ class Index:
     bare: float
     #: Of the examples with none of the vocabulary's terms, by text_key: their ids and labels.
     copies: dict[int, list[tuple]]
-    #: Postings by term, and where a term's begin. Weights have 32 bits; their sums have 64.
-    begin: np.ndarray
-    example: np.ndarray
-    weight: np.ndarray
+    #: Of examples one after another: how many terms each has, the terms and how often they occur.
+    pieces: list[bytes]
     knots: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
 
-    @classmethod
-    def of(cls, vocabulary: pa.Array, idf: np.ndarray, ids: list, labels: np.ndarray, example: np.ndarray, term: np.ndarray, weight: np.ndarray, bare: float, copies: dict[int, list[tuple]], others: pa.Array | None = None, worth: np.ndarray | None = None) -> Index:
-        """From postings sorted by example."""
-        others = pa.array([], pa.string()) if others is None else others
-        width = len(vocabulary) + len(others)
-        begin = np.r_[0, np.cumsum(np.bincount(term, minlength=width))].astype(np.int32)
-        order = np.argsort(term, kind="stable")
-        example, weight = example[order].astype(np.int32, copy=False), weight[order].astype(np.float32, copy=False)
-        return cls(vocabulary, others, idf, np.ones(width) if worth is None else worth, ids, labels, bare, copies, begin, example, weight)
-
     def __post_init__(self) -> None:
-        # Of each term its row in the matrix, or -1; the matrix has a column for each example.
-        n, held = len(self.ids), np.diff(self.begin)
-        frequent = np.argsort(-held, kind="stable")[:MATRIX]
-        frequent = frequent[held[frequent] > n // OFTEN]
-        self.often = np.full(len(held), -1, np.int32)
-        self.often[frequent] = np.arange(len(frequent))
-        self.matrix = np.zeros((len(frequent), n))
-        for row, t in enumerate(frequent.tolist()):
-            own = slice(self.begin[t], self.begin[t + 1])
-            self.matrix[row, self.example[own]] = self.weight[own]
-        # Of each term its cells, a cell for each block that has it; of each cell its block, largest weight and postings.
-        block = self.example // BLOCK
-        new = np.r_[True, block[1:] != block[:-1]] if len(block) else np.zeros(0, bool)
-        starts = self.begin[:-1][held > 0]
-        new[starts] = True
-        self.start = np.r_[np.flatnonzero(new), len(block)].astype(np.int32)
-        self.cells = np.searchsorted(self.start[:-1], self.begin).astype(np.int32)
-        self.block = block[self.start[:-1]]
-        self.top = np.maximum.reduceat(self.weight, self.start[:-1]) if len(block) else np.zeros(0)
+        self._search: Search | None = None
+        self._sent: dict[str, Broadcast] = {}
+
+    @classmethod
+    def of(cls, vocabulary: pa.Array, idf: np.ndarray, ids: list, labels: np.ndarray, example: np.ndarray, term: np.ndarray, weight: np.ndarray, bare: float, copies: dict[int, list[tuple]]) -> Index:
+        """From postings sorted by example and term, with weights of their own."""
+        found = cls(vocabulary, pa.array([], pa.string()), idf, np.ones(len(vocabulary)), ids, labels, bare, copies, [])
+        found._search = Search(np.searchsorted(example, np.arange(len(ids) + 1)), term, weight, len(vocabulary), len(vocabulary))
+        return found
 
     def __getstate__(self) -> dict:
-        kind = np.uint16 if len(self.ids) < 1 << 16 else np.int32
-        own = {f.name: getattr(self, f.name) for f in fields(self)}
-        return own | {"example": self.example.astype(kind)}
+        return {f.name: getattr(self, f.name) for f in fields(self)}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state | {"example": state["example"].astype(np.int32)})
+        self.__dict__.update(state)
         self.__post_init__()
 
-    def all_nearest(self, cut: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Of each vector, from a cut to the next, (examples, similarities) of the k nearest with a similarity above 0; without: the vectors are the examples."""
-        for low in range(0, len(cut) - 1, TOGETHER):
-            high = min(low + TOGETHER, len(cut) - 1)
-            asked = np.zeros((high - low, len(self.matrix)))
-            of, own = np.repeat(np.arange(high - low), np.diff(cut[low : high + 1])), slice(cut[low], cut[high])
-            row = self.often[term[own]]
-            asked[of[row >= 0], row[row >= 0]] = weight[own][row >= 0]
-            sums = asked @ self.matrix
-            for i in range(low, high):
-                t, w = term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]]
-                rare = self.often[t] < 0
-                yield self._nearest(t[rare], w[rare], sums[i - low], k, i if without else -1)
+    def sent(self, spark: SparkSession) -> Broadcast:
+        """The index at the workers, sent once; what it learns later is not there."""
+        app = spark.sparkContext.applicationId
+        if app not in self._sent:
+            self._sent[app] = spark.sparkContext.broadcast(self)
+        return self._sent[app]
+
+    def plain(self, piece: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cuts, terms, TF-IDF weights) of a piece's examples."""
+        sizes, term, times = unpack(piece)
+        tf = (1 + np.log(np.maximum(1, np.arange(times.max(initial=0) + 1)))).astype(np.float32)
+        return np.r_[0, np.cumsum(sizes, dtype=np.int64)], term, tf[times] * self.idf.astype(np.float32)[term]
+
+    @property
+    def search(self) -> Search:
+        if self._search is None:
+            cuts, terms, weights, end = [np.zeros(1, np.int64)], [], [], 0
+            worth = self.worth.astype(np.float32)
+            for piece in self.pieces:
+                cut, term, weight = self.plain(piece)
+                weight *= worth[term]
+                cuts.append(cut[1:] + end)
+                terms.append(term)
+                weights.append(unit(cut, weight))
+                end += cut[-1]
+            self._search = Search(np.concatenate(cuts), np.concatenate(terms), np.concatenate(weights), len(self.idf), len(self.vocabulary))
+            give_back()
+        return self._search
+
+    def all_nearest(self, cut: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: bool = False, first: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector, from a cut to the next, (examples, similarities) of the k nearest with a similarity above 0; without: the vectors are the examples from the first on."""
+        return self.search.all_nearest(cut, term, weight, k, first if without else -1)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(examples, similarities) of the k nearest with a similarity above 0."""
         return next(self.all_nearest(np.array([0, len(term)]), term, weight, k))
 
-    def _nearest(self, term: np.ndarray, weight: np.ndarray, sums: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
-        # sums: what the matrix's terms give; long lists of postings are added to it whole.
-        n = len(sums)
-        low, high = self.start[self.cells[term]], self.start[self.cells[term + 1]]
-        short = high - low <= LONG
-        for a, b, w in zip(low[~short].tolist(), high[~short].tolist(), weight[~short]):
-            sums[self.example[a:b]] += w * self.weight[a:b]
-        term, weight = term[short], weight[short]
-        size = self.cells[term + 1] - self.cells[term]
-        cell = spans(self.cells[term], size)
-        of, block = np.repeat(weight, size), self.block[cell]
-        n_blocks = -(-n // BLOCK)
-        bound = np.bincount(block, of * self.top[cell], minlength=n_blocks) + np.maximum.reduceat(sums, np.arange(0, n, BLOCK))
-        best_e, best_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        # The blocks with the highest bounds first: few of the others can have one of the best then.
-        first = np.zeros(n_blocks, bool)
-        first[np.argpartition(-bound, FIRST)[:FIRST] if n_blocks > FIRST else slice(None)] = True
-        for part in (first, ~first):
-            opened = part & (bound > 0) & (bound >= least)
-            own = np.flatnonzero(opened[block])
-            size = self.start[cell[own] + 1] - self.start[cell[own]]
-            at = spans(self.start[cell[own]], size)
-            e = (np.flatnonzero(opened)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            e = e[(e < n) & (e != without)]
-            s = (np.bincount(self.example[at], np.repeat(of[own], size) * self.weight[at], minlength=n) + sums)[e]
-            s, e = s[(s > 0) & (s >= least)], e[(s > 0) & (s >= least)]
-            if len(s) > k:
-                top = s >= np.partition(s, -k)[-k] - 1e-11
-                s, e = s[top], e[top]
-            e, s = np.r_[best_e, e], np.r_[best_s, s]
-            keep = np.lexsort((e, -np.round(s, 12)))[:k]
-            best_e, best_s = e[keep], s[keep]
-            least = best_s[-1] - 1e-11 if len(best_s) == k else 0.0
-        return best_e, best_s
-
     def vote(self, example: np.ndarray, similarity: np.ndarray) -> float:
         return float(((similarity * self.labels[example]).sum() + PRIOR * self.bare) / (similarity.sum() + PRIOR))
 
-    def calibrate(self, cut: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
-        """Isotonic regression of the labels on each example's vote without itself; its vector weighs terms as the other examples do."""
-        votes = np.array([self.vote(*found) if len(found[0]) else np.nan for found in self.all_nearest(cut, term, weight, without=True)])
-        some = ~np.isnan(votes)
-        self.knots = isotonic(votes[some], self.labels[some].astype(float))
-
-    def score(self, vote: float) -> float:
-        x, y = self.knots
-        return float(np.interp(vote, x, y)) if len(x) else vote
+    def calibrate(self, spark: SparkSession, if_clean: np.ndarray, if_toxic: np.ndarray, alone: np.ndarray) -> None:
+        """Isotonic regression of the labels on each example's vote without itself.
+
+        Its vector weighs terms as the other examples do: if_clean, if_toxic is what words
+        count without a clean or toxic example, and alone says which examples have no near copy.
+        """
+        own, spec = self.sent(spark), spark.sparkContext.broadcast((if_clean, if_toxic, alone))
+        begins = np.r_[0, np.cumsum([len(unpack(p)[0]) for p in self.pieces])]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, (if_clean, if_toxic, alone) = own.value, spec.value
+            worth = index.worth.astype(np.float32)
+            for batch in batches:
+                for p in batch.column(0).to_pylist():
+                    begin = int(begins[p])
+                    cut, term, plain = index.plain(index.pieces[p])
+                    example = begin + np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+                    weight = if_clean[term]
+                    bad = index.labels[example] == 1
+                    weight[bad] = np.where(alone[example[bad]], if_toxic[term[bad]], worth[term[bad]])
+                    weight = unit(cut, plain * weight) * weight / worth[term]
+                    votes = [index.vote(*found) if len(found[0]) else None for found in index.all_nearest(cut, term, weight, without=True, first=begin)]
+                    yield pa.RecordBatch.from_arrays([pa.array(begin + np.arange(len(votes))), pa.array(votes, pa.float64())], ["example", "vote"])
+
+        n = len(self.pieces)
+        found = spark.range(0, n, 1, n).mapInArrow(run, "example long, vote double").filter("vote IS NOT NULL").toArrow()
+        spec.destroy()
+        at = found["example"].to_numpy()
+        self.knots = isotonic(found["vote"].to_numpy(), self.labels[at].astype(float))
+
+
+def unit(cut: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Vectors, from a cut to the next, at length 1."""
+    size = np.diff(cut)
+    norm = np.ones(len(size), np.float32)
+    if size.any():
+        norm[size > 0] = np.sqrt(np.add.reduceat(np.square(weight, dtype=float), cut[:-1][size > 0]))
+    return weight / np.repeat(norm, size)
+
+
+def calibrated(knots: tuple[np.ndarray, np.ndarray], vote: float) -> float:
+    return float(np.interp(vote, *knots)) if len(knots[0]) else vote
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the rising step function nearest to y, by pooling neighbours; each pool has half a row of either label added."""
     pools: list[list[float]] = []
-    for v in np.unique(x):
-        own = y[x == v]
-        pools.append([v, v, own.sum(), len(own)])
+    at, which, n = np.unique(x, return_inverse=True, return_counts=True)
+    for v, total, size in zip(at.tolist(), np.bincount(which, y, minlength=len(at)).tolist(), n.tolist()):
+        pools.append([v, v, total, size])
         while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
             _, high, s, n = pools.pop()
             pools[-1] = [pools[-1][0], high, pools[-1][2] + s, pools[-1][3] + n]
@@ -379,10 +461,16 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1
     known = present_terms(rows).select("term", "clean", likely.alias("likely"), F.col("toxic")).filter(F.col("likely") | F.col("term").startswith("w:")).toArrow()
     found = known.filter(known["likely"]).sort_by([("toxic", "descending"), ("term", "ascending")])
     vocabulary = pa.array(proven(rows, found["term"].to_pylist(), found["clean"].to_numpy().astype(float)), pa.string())
-    others = known.filter(pc.and_(pc.starts_with(known["term"], "w:"), pc.invert(pc.is_in(known["term"], value_set=vocabulary))))["term"]
-    others = pa.concat_arrays(others.chunks) if others.num_chunks else pa.array([], pa.string())
-    others = others.take(pc.sort_indices(others))
-    del known, found
+    which = pc.index_in(vocabulary, value_set=found["term"])
+    counts = [found.select(["toxic", "clean"]).take(which)]
+    known = known.filter(pc.and_(pc.starts_with(known["term"], "w:"), pc.invert(pc.is_in(known["term"], value_set=vocabulary)))).select(["term", "toxic", "clean"])
+    known = known.take(pc.sort_indices(known["term"]))
+    counts.append(known.select(["toxic", "clean"]))
+    others = pa.concat_arrays(known["term"].chunks) if known["term"].num_chunks else pa.array([], pa.string())
+    # Of each term the toxic and the clean examples that have it.
+    toxic, clean = (np.concatenate([t[c].to_numpy() for t in counts]).astype(float) for c in ("toxic", "clean"))
+    held = toxic + clean
+    del known, found, counts
     spec = docs.sparkSession.sparkContext.broadcast((vocabulary, others))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,67 +486,54 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1
             yield pa.RecordBatch.from_arrays(own, ["doc_id", "label", "terms", "times", "key", "bare", "marks", "pairs"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    examples = rows.mapInArrow(run, f"doc_id {kind}, label int, terms array<int>, times array<int>, key long, bare boolean, marks array<long>, pairs long").orderBy("doc_id").toArrow().combine_chunks()
+    examples = rows.mapInArrow(run, f"doc_id {kind}, label int, terms array<int>, times array<int>, key long, bare boolean, marks array<long>, pairs long").orderBy("doc_id").toArrow()
+    spec.destroy()
     if not len(examples):
         return None
-    column = {c: pa.concat_arrays(examples[c].chunks) for c in examples.column_names}
-    del examples
-    label, without, ids = column["label"].to_numpy().astype(np.int64), column["bare"].to_numpy(zero_copy_only=False), column["doc_id"].to_pylist()
+    small = {c: pa.concat_arrays(examples[c].chunks) for c in ("doc_id", "label", "key", "bare", "pairs")}
+    label, without, ids = small["label"].to_numpy().astype(np.int64), small["bare"].to_numpy(zero_copy_only=False), small["doc_id"].to_pylist()
     bare = float((label[without].sum() + 0.5) / (without.sum() + 1)) if without.any() else float(label.mean())
     copies: dict[int, list[tuple]] = {}
     for i in np.flatnonzero(without):
-        copies.setdefault(column["key"][i].as_py() + (1 << 63), []).append((ids[i], int(label[i])))
+        copies.setdefault(small["key"][i].as_py() + (1 << 63), []).append((ids[i], int(label[i])))
     copies.pop(0, None)
-    cut = np.r_[0, np.cumsum(pc.list_value_length(column["terms"]).to_numpy())]
-    example = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(cut))
-    term, times = (column[c].flatten().to_numpy() for c in ("terms", "times"))
+    # The driver holds the examples packed, and the terms of the toxic ones.
+    pieces, marks, of_toxic, begin = [], [], [], 0
+    for batch in examples.to_batches():
+        sizes, term, times = (x.to_numpy(zero_copy_only=False) for x in (pc.list_value_length(batch["terms"]), batch["terms"].flatten(), batch["times"].flatten()))
+        pieces.append(pack(sizes, term, times))
+        marks.append(batch["marks"].flatten().to_numpy())
+        example = begin + np.repeat(np.arange(len(batch)), sizes)
+        bad = label[example] == 1
+        of_toxic.append((example[bad], term[bad]))
+        begin += len(batch)
+    del examples, batch
     width, is_toxic = len(vocabulary) + len(others), label == 1
     # Near copies among the toxic texts count once.
     group = np.full(len(ids), -1)
-    group[is_toxic] = near_copies(column["marks"].flatten().to_numpy().reshape(-1, SKETCH), column["pairs"].to_numpy()[is_toxic])
-    bad = is_toxic[example]
-    toxic = np.bincount(np.unique(group[example[bad]] * width + term[bad]) % max(1, width), minlength=width).astype(float)
-    clean = np.bincount(term[~bad], minlength=width).astype(float)
+    group[is_toxic] = near_copies(np.concatenate(marks).reshape(-1, SKETCH), small["pairs"].to_numpy()[is_toxic])
+    example, term = (np.concatenate(x) for x in zip(*of_toxic))
+    toxic = np.bincount(np.unique(group[example] * width + term) % max(1, width), minlength=width).astype(float)
     n_groups = len(np.unique(group[is_toxic]))
     base = min(MIN_SHARE / 2, n_groups / max(1, n_groups + (~is_toxic).sum()))
-    idf = np.log((len(ids) + 1) / (np.bincount(term, minlength=width) + 1)) + 1
-    counts = np.where(np.arange(width) < len(vocabulary), 1.0, worth(toxic, clean, idf, base))
-    # One number of 32 bits for each posting at a time: the driver holds all examples.
-    plain = (1 + np.log(np.maximum(1, np.arange(times.max() + 1 if len(times) else 1)))).astype(np.float32)[times]
-    plain *= idf.astype(np.float32)[term]
-    counts32, some = counts.astype(np.float32), np.diff(cut) > 0
-
-    def norms(of: np.ndarray) -> np.ndarray:
-        out = np.ones(len(ids), np.float32)
-        if some.any():
-            out[some] = np.sqrt(np.add.reduceat(of * of, cut[:-1][some], dtype=float))
-        return out
-
-    weight = plain * counts32[term]
-    weight /= norms(weight)[example]
-    index = Index.of(vocabulary, idf, ids, label, example, term, weight, bare, copies, others, counts)
+    idf = np.log((len(ids) + 1) / (held + 1)) + 1
+    known = np.arange(width) < len(vocabulary)
+    counts, if_clean, if_toxic = (np.where(known, 1.0, worth(np.maximum(0, toxic - a), np.maximum(0, clean - b), idf, base)) for a, b in ((0, 0), (0, 1), (1, 0)))
     # An example's own label must not weigh the terms that it is asked with.
     alone = np.bincount(group[is_toxic], minlength=len(ids) + 1)[group] == 1
-    known = np.arange(width) < len(vocabulary)
-    if_clean, if_toxic = (np.where(known, 1.0, worth(np.maximum(0, toxic - a), np.maximum(0, clean - b), idf, base)) for a, b in ((0, 1), (1, 0)))
-    weight = if_clean.astype(np.float32)[term]
-    weight[bad] = np.where(alone[example[bad]], if_toxic[term[bad]], counts[term[bad]])
-    norm = norms(plain * weight)
-    weight *= weight
-    weight *= plain
-    weight /= counts32[term]
-    weight /= norm[example]
-    del plain, example, bad, times, column
-    index.calibrate(cut, term, weight)
+    index = Index(vocabulary, others, idf, counts, ids, label, bare, copies, pieces)
+    index.calibrate(docs.sparkSession, if_clean.astype(np.float32), if_toxic.astype(np.float32), alone)
+    give_back()
     return index
 
 
 def score(docs: DataFrame, index: Index | None, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score and evidence, the ids of the nearest examples."""
-    spec = docs.sparkSession.sparkContext.broadcast(index)
+    spec = index.sent(docs.sparkSession) if index else None
+    knots = index.knots if index else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = spec.value
+        own = spec.value if spec else None
         for batch in batches:
             value = np.full(len(batch), own.bare if own else 0.0)
             evidence: list[list] = [[]] * len(batch)
@@ -469,7 +544,7 @@ def score(docs: DataFrame, index: Index | None, id: str = "doc_id", text: str =
                 weight /= np.sqrt(np.bincount(at, weight**2, len(batch)))[at]
                 for i, (near, similarity) in enumerate(own.all_nearest(cut, term, weight)):
                     if len(near):
-                        value[i] = own.score(own.vote(near, similarity))
+                        value[i] = calibrated(knots, own.vote(near, similarity))
                         evidence[i] = [own.ids[e] for e in near[:EVIDENCE]]
                 for i in np.flatnonzero(np.bincount(at, term < len(own.vocabulary), len(batch)) == 0) if own.copies else ():
                     if same := own.copies.get(text_key(batch.column(1)[i].as_py())):

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -264,6 +266,43 @@ def test_lists_of_any_length_give_the_nearest(monkeypatch, long):
         assert np.allclose(s, all_[best]) and len(e) == len(best) and i not in e
 
 
+@pytest.mark.parametrize("rows, alone, first", [(1, 1, 1), (6, 2, 2), (40, 30, 16)])
+def test_terms_that_share_a_row_lose_no_neighbour(monkeypatch, rows, alone, first):
+    r = np.random.default_rng(6)
+    for name, value in {"LONG": 3, "MATRIX": rows, "ALONE": alone, "FIRST": first, "TOGETHER": 7}.items():
+        monkeypatch.setattr(toxicity_knn, name, value)
+    dense = r.random((500, 80)) ** 6 * (r.random((500, 80)) < r.random(80) ** 3)
+    dense[100:130] = dense[99]
+    dense = (dense / np.maximum(1e-9, np.linalg.norm(dense, axis=1, keepdims=True))).astype(np.float32).astype(float)
+    example, term = np.nonzero(dense)
+    index = toxicity_knn.Index.of(pa.array([f"w:{i}" for i in range(80)]), np.ones(80), list(range(500)), r.integers(0, 2, 500), example, term, dense[example, term], 0.1, {})
+    cut = np.searchsorted(example, np.arange(90, 501))
+    for i, (e, s) in enumerate(index.all_nearest(cut - cut[0], term[cut[0] :], dense[example, term][cut[0] :], 10, without=True, first=90), 90):
+        all_ = dense @ dense[i]
+        all_[i] = 0
+        best = np.lexsort((np.arange(500), -np.round(all_, 12)))
+        best = best[all_[best] > 0][:10]
+        assert (e == best).all() and np.allclose(s, all_[best], rtol=0, atol=1e-12)
+
+
+def test_the_driver_holds_examples_packed(spark):
+    """What the driver's Python takes for a fit is a few bytes for each word of an example; searches are the workers'."""
+    r = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{w}" for w in r.integers(0, 4000, 600)) + (" dolt" if i < 60 else ""), int(i < 60)) for i in range(1200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    postings = sum(len(set(r[1].split())) for r in rows)
+    toxicity_knn.fit(docs.limit(20), labels, modulus=1000, remainder=999)
+    tracemalloc.start()
+    try:
+        index = toxicity_knn.fit(docs, labels, modulus=1000, remainder=999)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert index.vocabulary.to_pylist() == ["w:dolt"] and len(index.knots[0])
+    assert peak < 36 * postings
+
+
 def test_prior_and_risk_on_made_up_texts():
     r = np.random.default_rng(3)
     good = lambda n: np.column_stack([r.normal(2, 1, n), r.normal(0, 1, n)])
