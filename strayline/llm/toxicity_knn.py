@@ -476,21 +476,21 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, term, times = vectors(batch.column(0), *spec.value)
-            cut = np.searchsorted(text, np.arange(len(batch) + 1))
-            part = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x.astype(np.int32)))
+            # A batch's first row carries the piece of all.
+            piece = pa.array([pack(np.bincount(text, minlength=len(batch)), term, times), *[None] * (len(batch) - 1)][: len(batch)], pa.binary())
             bare = np.bincount(text, term < len(spec.value[0]), len(batch)) == 0
             key = [(text_key(t.as_py()) if b else 0) - (1 << 63) for t, b in zip(batch.column(0), bare)]
             label, (minima, pairs) = batch.column(1).cast(pa.int32()), sketch(batch.column(0))
             marks = pa.array([m if y == 1 else [] for m, y in zip(minima.view(np.int64), label.to_pylist())], pa.list_(pa.int64()))
-            own = [batch.column(2), label, part(term), part(times), pa.array(key, pa.int64()), pa.array(bare), marks, pa.array(pairs, pa.int64())]
-            yield pa.RecordBatch.from_arrays(own, ["doc_id", "label", "terms", "times", "key", "bare", "marks", "pairs"])
+            own = [batch.column(2), label, piece, pa.array(key, pa.int64()), pa.array(bare), marks, pa.array(pairs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", "label", "piece", "key", "bare", "marks", "pairs"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    examples = rows.mapInArrow(run, f"doc_id {kind}, label int, terms array<int>, times array<int>, key long, bare boolean, marks array<long>, pairs long").orderBy("doc_id").toArrow()
+    examples = rows.orderBy("doc_id").mapInArrow(run, f"doc_id {kind}, label int, piece binary, key long, bare boolean, marks array<long>, pairs long").toArrow()
     spec.destroy()
     if not len(examples):
         return None
-    small = {c: pa.concat_arrays(examples[c].chunks) for c in ("doc_id", "label", "key", "bare", "pairs")}
+    small = {c: pa.concat_arrays(examples[c].chunks) for c in ("doc_id", "label", "key", "bare", "marks", "pairs")}
     label, without, ids = small["label"].to_numpy().astype(np.int64), small["bare"].to_numpy(zero_copy_only=False), small["doc_id"].to_pylist()
     bare = float((label[without].sum() + 0.5) / (without.sum() + 1)) if without.any() else float(label.mean())
     copies: dict[int, list[tuple]] = {}
@@ -498,20 +498,18 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1
         copies.setdefault(small["key"][i].as_py() + (1 << 63), []).append((ids[i], int(label[i])))
     copies.pop(0, None)
     # The driver holds the examples packed, and the terms of the toxic ones.
-    pieces, marks, of_toxic, begin = [], [], [], 0
-    for batch in examples.to_batches():
-        sizes, term, times = (x.to_numpy(zero_copy_only=False) for x in (pc.list_value_length(batch["terms"]), batch["terms"].flatten(), batch["times"].flatten()))
-        pieces.append(pack(sizes, term, times))
-        marks.append(batch["marks"].flatten().to_numpy())
-        example = begin + np.repeat(np.arange(len(batch)), sizes)
+    pieces, of_toxic, begin = examples["piece"].drop_null().to_pylist(), [], 0
+    for piece in pieces:
+        sizes, term, _ = unpack(piece)
+        example = begin + np.repeat(np.arange(len(sizes)), sizes)
         bad = label[example] == 1
         of_toxic.append((example[bad], term[bad]))
-        begin += len(batch)
-    del examples, batch
+        begin += len(sizes)
+    del examples
     width, is_toxic = len(vocabulary) + len(others), label == 1
     # Near copies among the toxic texts count once.
     group = np.full(len(ids), -1)
-    group[is_toxic] = near_copies(np.concatenate(marks).reshape(-1, SKETCH), small["pairs"].to_numpy()[is_toxic])
+    group[is_toxic] = near_copies(small["marks"].flatten().to_numpy().reshape(-1, SKETCH), small["pairs"].to_numpy()[is_toxic])
     example, term = (np.concatenate(x) for x in zip(*of_toxic))
     toxic = np.bincount(np.unique(group[example] * width + term) % max(1, width), minlength=width).astype(float)
     n_groups = len(np.unique(group[is_toxic]))
